@@ -40,7 +40,9 @@ LEAF = 32
 #: Sketches below the threshold less this are no candidates: 4.5 standard deviations at 128 tokens.
 SLACK = 0.16
 #: Shingles in a block that is compared exactly.
-BLOCK = 400_000
+BLOCK = 150_000
+#: Hash buckets of ids that are broadcast to spare texts a shuffle.
+ID_BUCKETS = 1 << 19
 #: Classes of a large group that visit all its blocks first.
 HUBS = 8
 
@@ -258,6 +260,20 @@ def _compare(blocks: DataFrame, k: int, percent: int) -> DataFrame:
     return blocks.select("block", "visit", "id", "text").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_exact_links(k, percent), "a long, b long")
 
 
+def maybe_among(rows: DataFrame, ids: DataFrame, id_column: str, absent: bool = False) -> DataFrame:
+    """The rows whose id's hash bucket holds some id of `ids`, or those whose bucket holds none.
+
+    At most ID_BUCKETS bucket numbers are broadcast, whatever the tables, so that only
+    rows that may join are shuffled.
+    """
+
+    def bucket(c: str):
+        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BUCKETS)).cast("int")
+
+    some = ids.select(bucket("id").alias("__bucket")).distinct()
+    return rows.withColumn("__bucket", bucket(id_column)).join(F.broadcast(some), "__bucket", "left_anti" if absent else "left_semi").drop("__bucket")
+
+
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; rows link if 100 * intersection >= percent * union."""
     prints = stored(fingerprint(docs, doc_id, text, k))
@@ -271,7 +287,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = member.join(groups, "component").select("id", "component", F.ceil(F.col("weight") / BLOCK).cast("int").alias("parts"))
     dealt = dealt.withColumn("home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    rows = stored(texts.join(dealt, "id"))
+    rows = stored(maybe_among(texts, dealt, "id").join(dealt, "id"))
 
     def block(part):
         return F.xxhash64("component", part)
@@ -310,6 +326,17 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return label.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all their columns, less the near copies: of each component, and of rows of one id, one row stays."""
+    marks = link_components(docs, doc_id, text, k, percent)
+    gone = stored(marks.filter("NOT kept").select(F.col(doc_id).cast("long").alias("id")).distinct())
+    twice = stored(marks.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id"))
+    touched = stored(gone.union(twice).distinct())
+    free = maybe_among(docs.filter(F.col(doc_id).isNotNull()), touched, doc_id, absent=True).union(docs.filter(F.col(doc_id).isNull()))
+    rest = maybe_among(docs.filter(F.col(doc_id).isNotNull()), touched, doc_id).withColumn("__id", F.col(doc_id).cast("long")).join(gone.withColumnRenamed("id", "__id"), "__id", "left_anti")
+    return free.select(docs.columns).union(rest.dropDuplicates(["__id"]).select(docs.columns))
+
+
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity of 0.85 or more."""
     return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", 3, 85)
