@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, language_id, near_dedup
+from quern.llm import decontaminate, language_id, near_dedup, packing, pii
 from quern.llm.lineage import stored
 
 
@@ -14,8 +14,7 @@ def identify(spark, docs, sf_dir):
 
 def deduplicate(spark, docs, sf_dir):
     """One document of each group of near copies stays: 5-word shingles, similarity 0.8 or more."""
-    marks = near_dedup.link_components(docs, "doc_id", "text", 5, 80).filter("kept").select("doc_id").distinct()
-    return docs.join(marks, "doc_id", "left_semi").select(docs.columns)
+    return near_dedup.keep_one(docs, "doc_id", "text", 5, 80)
 
 
 def decontaminated(spark, docs, sf_dir):
@@ -23,7 +22,17 @@ def decontaminated(spark, docs, sf_dir):
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("language_id", identify), ("near_dedup", deduplicate), ("decontaminate", decontaminated)]
+def sanitised(spark, docs, sf_dir):
+    """Personal data, and terms that disclose it, are replaced in the texts."""
+    return pii.sanitise(docs)
+
+
+def packed(spark, docs, sf_dir):
+    """Every piece of every document gets its bin and place."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language_id", identify), ("near_dedup", deduplicate), ("decontaminate", decontaminated), ("pii", sanitised), ("packing", packed)]
 
 #: The first stage compresses texts, which SQL cannot express.
 ORACLE_SQL = None

@@ -1 +1 @@
-
+"""Relational, ordered and array operators on Spark DataFrames."""

@@ -1 +1 @@
-
+"""Event-time operators; the same code runs on batch and streaming frames."""
