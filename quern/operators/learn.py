@@ -49,9 +49,9 @@ def roc_curve(frame: DataFrame, y: str, score: str) -> DataFrame:
     from quern.operators.windows import cumulative
 
     steps = frame.groupBy((-F.col(score)).cast("double").alias("s")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
-    total = steps.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    total = steps.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
     run = cumulative(steps, "s", tp=("p", "cumsum"), fp=("n", "cumsum"))
-    return run.crossJoin(F.broadcast(total)).select((-F.col("s")).alias("threshold"), (F.col("tp") / F.col("P")).alias("tpr"), (F.col("fp") / F.col("N")).alias("fpr"))
+    return run.crossJoin(F.broadcast(total)).select((-F.col("s")).alias("threshold"), (F.col("tp") / F.col("positives")).alias("tpr"), (F.col("fp") / F.col("negatives")).alias("fpr"))
 
 
 def roc_auc(frame: DataFrame, y: str, score: str) -> DataFrame:
