@@ -178,7 +178,7 @@ def op9_embedding_dedup(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL
-), q AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS l FROM v
+), q AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS l FROM v
 ), k AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM q a JOIN q b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE a.l > 0 AND b.l > 0 AND list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.93
