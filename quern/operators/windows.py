@@ -168,9 +168,15 @@ def ewm(frame: DataFrame, keys: list[str], order: list, column: str, alpha: floa
     x = F.col(column).cast("double")
     # Weights fall with every row, also with those without a value.
     t = frame.withColumn("__p", F.row_number().over(w) - 1).withColumn("__c", F.floor(F.col("__p") / chunk)).withColumn("__o", (F.col("__p") % chunk).cast("double"))
-    first = F.min(F.when(x.isNotNull(), F.col("__p"))).over(Window.partitionBy(*keys))
-    weight = F.when(x.isNull(), 0.0).otherwise(F.lit(1.0) if adjust else F.when(F.col("__p") == first, 1.0).otherwise(alpha))
-    t = t.withColumn("__w", weight)
+    if adjust:
+        weight = F.lit(1.0)
+    else:
+        # A value counts alpha against the faded weight of all before it; after each value the whole is scaled to 1.
+        past = w.rowsBetween(Window.unboundedPreceding, -1)
+        t = t.withColumn("__last", F.max(F.when(x.isNotNull(), F.col("__p"))).over(past))
+        t = t.withColumn("__f", F.when(x.isNotNull() & F.col("__last").isNotNull(), F.log(F.pow(F.lit(q), (F.col("__p") - F.col("__last")).cast("double")) + alpha)))
+        weight = F.when(F.col("__last").isNull(), 1.0).otherwise(alpha * F.exp(F.coalesce(F.sum("__f").over(past), F.lit(0.0))))
+    t = t.withColumn("__w", F.when(x.isNull(), 0.0).otherwise(weight))
     v = F.coalesce(x, F.lit(0.0))
     parts = {"w": F.col("__w"), "x": F.col("__w") * v, "xx": F.col("__w") * v * v, "ww": F.col("__w") * F.col("__w")}
     rate = {"w": q, "x": q, "xx": q, "ww": q * q}
