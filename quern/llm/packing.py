@@ -2,11 +2,11 @@
 
 Documents, longest first, go to the open bin that they fill tightest among those without a
 conflict. Bins are kept by residual; a bitmap of the residuals in use gives the least one
-that fits, and the search goes on to its successors until a compatible bin is found, or a
-new one is opened. A bin carries a bitmap of the sources and duplicate clusters in it: a
-document conflicts with a bin that holds a document of its cluster, or one of its source.
-A source with a large share of the tokens counts as several, in proportion, so that it
-can fill its share of every bin.
+that fits, and the search goes on to its successors until a compatible bin is found (the
+oldest of those with one residual), or a new one is opened. A bin carries a bitmap of the
+sources and duplicate clusters in it: a document conflicts with a bin that holds a document
+of its cluster, or one of its source. A source with a large share of the rows counts as
+several, in proportion, so that it can fill its share of every bin.
 
 A text longer than a bin is cut: its whole bins are full at once, and the rest is packed.
 Documents are dealt by hash over shards of about `SHARD` rows, which are packed apart, so
@@ -19,6 +19,7 @@ none. Every row, repeated or not, is placed once. Other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,7 +88,7 @@ def pack(sizes: list[int], bits: list[int], capacity: int) -> tuple[list[int], l
         held[bin_no] |= own
         left[bin_no] = residual - size
         if left[bin_no]:
-            by_residual[left[bin_no]].append(bin_no)
+            insort(by_residual[left[bin_no]], bin_no)
             in_use |= 1 << left[bin_no]
     return where, place
 
