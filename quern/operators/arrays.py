@@ -297,13 +297,38 @@ def solve(frame: DataFrame, vector: str, target: str, width: int) -> np.ndarray:
     return np.linalg.solve(g[:width, :width], g[:width, width])
 
 
-def inverse(matrix: DataFrame, n: int) -> DataFrame:
-    """Inverse of a matrix that fits on the driver."""
+def on_driver(matrix: DataFrame, n: int, function) -> DataFrame:
+    """A numpy function of a square matrix that fits on the driver."""
     rows = matrix.toPandas()
     m = np.zeros((n, n))
     m[rows["i"], rows["j"]] = rows["v"]
-    inv = np.linalg.inv(m)
-    return matrix.sparkSession.createDataFrame(pd.DataFrame({"i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "v": inv.ravel()}))
+    return matrix.sparkSession.createDataFrame(pd.DataFrame({"i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "v": np.asarray(function(m)).ravel()}))
+
+
+def inverse(matrix: DataFrame, n: int) -> DataFrame:
+    return on_driver(matrix, n, np.linalg.inv)
+
+
+def cholesky(matrix: DataFrame, n: int) -> DataFrame:
+    """The lower factor."""
+    return on_driver(matrix, n, np.linalg.cholesky)
+
+
+def lu(matrix: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Permutation, unit lower and upper factors, with partial pivoting."""
+
+    def parts(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, low, p = m.copy(), np.eye(n), np.eye(n)
+        for k in range(n - 1):
+            best = k + int(np.abs(u[k:, k]).argmax())
+            for x, upto in ((u, n), (p, n), (low, k)):
+                x[[k, best], :upto] = x[[best, k], :upto]
+            if u[k, k] != 0:
+                low[k + 1 :, k] = u[k + 1 :, k] / u[k, k]
+                u[k + 1 :] -= np.outer(low[k + 1 :, k], u[k])
+        return p.T, low, u
+
+    return tuple(on_driver(matrix, n, lambda m, i=i: parts(m)[i]) for i in range(3))
 
 
 def fft(frame: DataFrame, vector: str, kind: str = "fft") -> DataFrame:

@@ -191,12 +191,12 @@ def array_cov(s, d):
     return A.cov(T(s, d, "lineitem"), ["l_quantity", "l_tax"]).select("i", "j", F.round("v", 6).alias("v"))
 
 
-@plan("SELECT i, round(-1 + i * 0.25, 6) AS v FROM range(9) t(i)")
+@plan("SELECT i, round(-1 + i * 0.25::DOUBLE, 6) AS v FROM range(9) t(i)")
 def array_linspace(s, d):
     return A.linspace(s, -1, 1, 9).select("i", F.round("v", 6).alias("v"))
 
 
-@plan("SELECT i, 3 + i * 2.0 AS v FROM range(10) t(i)")
+@plan("SELECT i, 3 + i * 2::DOUBLE AS v FROM range(10) t(i)")
 def array_arange(s, d):
     return A.arange(s, 3.0, 23.0, 2.0)
 
@@ -206,7 +206,7 @@ def array_eye(s, d):
     return A.eye(s, 12)
 
 
-@plan("SELECT i, j, j * 1.0 AS x, i * 2.0 AS y FROM range(5) a(i), range(7) b(j)")
+@plan("SELECT i, j, j * 1::DOUBLE AS x, i * 2::DOUBLE AS y FROM range(5) a(i), range(7) b(j)")
 def array_meshgrid(s, d):
     return A.meshgrid(A.arange(s, 0.0, 7.0), A.arange(s, 0.0, 10.0, 2.0))
 
@@ -277,10 +277,53 @@ def nearest_neighbors(s, d):
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("rank"))).filter("rank <= 5").select("i", F.col("rank").cast("long").alias("rank"), "j")
 
 
+@plan("SELECT i, j, (i = j)::INT::DOUBLE AS v FROM range(64) a(i), range(64) b(j)")
+def array_cholesky(s, d):
+    """The inverse of the factor times the matrix times the inverse's transpose is the identity."""
+    m = _matrix(s, d)
+    g = A.matmul(A.transpose(m), m)
+    inv = A.inverse(A.cholesky(g, 64), 64)
+    return A.matmul(A.matmul(inv, g), A.transpose(inv)).select("i", "j", F.abs(F.round("v", 4)).alias("v"))
+
+
+@plan(f"SELECT a.i AS i, round(sum(a.v * b.v), 5) AS v FROM {_M} a JOIN {_M} b ON a.j = b.j AND b.i = 0 GROUP BY 1")
+def array_tensordot(s, d):
+    m = _matrix(s, d)
+    return A.einsum("ab,b->a", m, m.filter("i = 0").select("j", "v")).select(F.col("a").alias("i"), F.round("v", 5).alias("v"))
+
+
+@plan(f"SELECT i // 2 AS i, j, v FROM {_M} WHERE i % 2 = 0 UNION ALL SELECT i + 1000, j, v FROM {_M} WHERE i % 2 = 1")
+def array_vstack(s, d):
+    m = _matrix(s, d)
+    return A.vstack([(m.filter("i % 2 = 0").withColumn("i", F.floor(F.col("i") / 2)), 1000), (m.filter("i % 2 = 1"), 1)])
+
+
+@plan(f"SELECT i, i // 100 AS r, i % 100 AS c FROM {_V} WHERE v > 300000")
+def array_unravel_index(s, d):
+    v = _vector(s, d).filter("v > 300000")
+    return v.select("i", F.floor(F.col("i") / 100).alias("r"), (F.col("i") % 100).alias("c"))
+
+
+@plan(f"SELECT row_number() OVER (ORDER BY i) - 1 AS i, v FROM {_V} WHERE i NOT IN (0, 5, 9)")
+def array_delete(s, d):
+    return A.delete(_vector(s, d), [0, 5, 9])
+
+
+@plan(f"SELECT p.i * 7 AS at, q.v FROM range(100) p(i) JOIN {_V} q ON q.i = p.i * 7")
+def array_take(s, d):
+    places = s.range(100).select((F.col("id") * 7).alias("i"), (F.col("id") * 7).alias("at"))
+    return A.take(_vector(s, d), places).select(F.col("i").alias("at"), "v")
+
+
+@plan("SELECT least(floor(l_discount / 0.02), 4)::INT AS bin, count(*) AS n FROM lineitem WHERE l_discount BETWEEN 0 AND 0.1 GROUP BY 1")
+def array_histogram(s, d):
+    return stats.histogram(T(s, d, "lineitem"), "l_discount", 5, 0.0, 0.1)
+
+
 # Hypothesis tests.
 
 
-@plan("SELECT round((avg(l_quantity) - 25) / (stddev_samp(l_quantity) / sqrt(count(*))), 6) AS t, count(*) - 1.0 AS df FROM lineitem")
+@plan("SELECT round((avg(l_quantity) - 25) / (stddev_samp(l_quantity) / sqrt(count(*))), 6) AS t, (count(*) - 1)::DOUBLE AS df FROM lineitem")
 def ttest_1samp(s, d):
     return stats.ttest_1samp(T(s, d, "lineitem"), "l_quantity", 25.0).select(F.round("t", 6).alias("t"), "df")
 
@@ -290,7 +333,7 @@ def ttest_ind(s, d):
     return stats.ttest_ind(T(s, d, "lineitem"), "l_quantity", F.col("l_returnflag") == "R").select(F.round("t", 6).alias("t"), "df")
 
 
-@plan("WITH x AS (SELECT l_discount - l_tax AS v FROM lineitem) SELECT round(avg(v) / (stddev_samp(v) / sqrt(count(*))), 5) AS t, count(*) - 1.0 AS df FROM x")
+@plan("WITH x AS (SELECT l_discount - l_tax AS v FROM lineitem) SELECT round(avg(v) / (stddev_samp(v) / sqrt(count(*))), 5) AS t, (count(*) - 1)::DOUBLE AS df FROM x")
 def ttest_rel(s, d):
     return stats.ttest_rel(T(s, d, "lineitem"), "l_discount", "l_tax").select(F.round("t", 5).alias("t"), "df")
 

@@ -188,3 +188,48 @@ def q22(spark, d):
     rich = c.crossJoin(F.broadcast(mean)).filter("c_acctbal > mean")
     big = table(spark, d, "orders").filter("o_totalprice > 300000").select("o_custkey")
     return rich.join(big, F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("numcust"), F.round(F.sum("c_acctbal"), 2).alias("totacctbal"))
+
+
+#: The tables have no partsupp; its part is taken by the pairs in lineitem, with the least unit price as cost and the quantity sold as stock.
+_PS = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost, sum(l_quantity) AS ps_availqty FROM lineitem GROUP BY ALL)"
+
+
+def _partsupp(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("ps_supplycost"), F.sum("l_quantity").alias("ps_availqty"))
+
+
+@plan(f"WITH ps AS (SELECT * FROM {_PS} JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE') SELECT s_name, n_name, p_partkey, round(ps_supplycost, 4) AS ps_supplycost FROM part JOIN ps ON p_partkey = ps_partkey JOIN (SELECT ps_partkey AS k, min(ps_supplycost) AS c FROM ps GROUP BY 1) ON k = ps_partkey AND c = ps_supplycost WHERE p_size < 10 ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100")
+def q02(spark, d):
+    from pyspark.sql import Window
+
+    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region").filter("r_name = 'EUROPE'")), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "s_acctbal", "n_name")
+    p = table(spark, d, "part").filter("p_size < 10").select("p_partkey")
+    j = _partsupp(spark, d).join(p, F.col("ps_partkey") == F.col("p_partkey")).join(s, F.col("ps_suppkey") == F.col("s_suppkey"))
+    best = j.withColumn("least", F.min("ps_supplycost").over(Window.partitionBy("ps_partkey"))).filter("ps_supplycost = least")
+    return best.orderBy(F.desc("s_acctbal"), "n_name", "s_name", "p_partkey").limit(100).select("s_name", "n_name", "p_partkey", F.round("ps_supplycost", 4).alias("ps_supplycost"))
+
+
+@plan(f"SELECT n_name, year(o_orderdate) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity), 2) AS profit FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN {_PS} ON ps_partkey = l_partkey AND ps_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%a%' GROUP BY ALL")
+def q09(spark, d):
+    p = table(spark, d, "part").filter(F.col("p_name").contains("a")).select("p_partkey")
+    s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    j = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"), "left_semi").join(_partsupp(spark, d), (F.col("l_partkey") == F.col("ps_partkey")) & (F.col("l_suppkey") == F.col("ps_suppkey"))).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy("n_name", F.year("o_orderdate").cast("long").alias("o_year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) - F.col("ps_supplycost") * F.col("l_quantity")), 2).alias("profit"))
+
+
+@plan(f"WITH ps AS (SELECT ps_partkey, ps_supplycost * ps_availqty AS v FROM {_PS} JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name IN ('NATION_1', 'NATION_2', 'NATION_3')) SELECT ps_partkey, round(sum(v), 2) AS worth FROM ps GROUP BY 1 HAVING sum(v) > (SELECT sum(v) * 0.001 FROM ps)")
+def q11(spark, d):
+    n = table(spark, d, "nation").filter(F.col("n_name").isin("NATION_1", "NATION_2", "NATION_3"))
+    s = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey")
+    per = _partsupp(spark, d).join(s, F.col("ps_suppkey") == F.col("s_suppkey"), "left_semi").groupBy("ps_partkey").agg(F.sum(F.col("ps_supplycost") * F.col("ps_availqty")).alias("worth"))
+    total = per.agg((F.sum("worth") * 0.001).alias("least"))
+    return per.crossJoin(F.broadcast(total)).filter("worth > least").select("ps_partkey", F.round("worth", 2).alias("worth"))
+
+
+@plan(f"SELECT s_name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey < 5 AND s_suppkey IN (SELECT ps_suppkey FROM {_PS} WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_type LIKE 'E%') AND ps_availqty > (SELECT 0.5 * sum(l_quantity) FROM lineitem WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND l_shipdate < TIMESTAMP '1999-01-01'))")
+def q20(spark, d):
+    p = table(spark, d, "part").filter(F.col("p_type").startswith("E")).select("p_partkey")
+    sold = table(spark, d, "lineitem").filter(F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp")).groupBy("l_partkey", "l_suppkey").agg((0.5 * F.sum("l_quantity")).alias("half"))
+    ps = _partsupp(spark, d).join(p, F.col("ps_partkey") == F.col("p_partkey"), "left_semi").join(sold, (F.col("ps_partkey") == F.col("l_partkey")) & (F.col("ps_suppkey") == F.col("l_suppkey"))).filter("ps_availqty > half").select("ps_suppkey")
+    return table(spark, d, "supplier").filter("s_nationkey < 5").join(ps, F.col("s_suppkey") == F.col("ps_suppkey"), "left_semi").select("s_name", "s_suppkey")

@@ -170,6 +170,39 @@ def test_special_functions(spark):
         assert r.i0 == pytest.approx(float(np.i0(r.x)), rel=1e-9)
 
 
+def test_more_special_functions(spark):
+    import math
+
+    r = spark.range(1).select(
+        E.gammainc(F.lit(2.5), F.lit(1.7)).alias("gi"), E.gammainc(F.lit(2.5), F.lit(9.0)).alias("gi2"), E.betainc(F.lit(2.0), F.lit(3.0), F.lit(0.4)).alias("bi"), E.ellipk(F.lit(0.5)).alias("k"), E.ellipe(F.lit(0.5)).alias("e"),
+        E.jv(0, F.lit(2.0)).alias("j0"), E.jv(1, F.lit(2.0)).alias("j1"), E.iv(1, F.lit(1.5)).alias("i1"), E.erfinv(F.lit(0.3)).alias("ei"), E.chi2_sf(F.lit(3.84), F.lit(1)).alias("c"), E.t_sf(F.lit(2.0), F.lit(10)).alias("t"), E.digamma(F.lit(1.0)).alias("d"),
+    ).first()
+    x = np.linspace(0, 1.7, 400_001)
+    assert r.gi == pytest.approx(np.trapezoid(x**1.5 * np.exp(-x), x) / math.gamma(2.5), rel=1e-6)
+    x = np.linspace(0, 9.0, 400_001)
+    assert r.gi2 == pytest.approx(np.trapezoid(x**1.5 * np.exp(-x), x) / math.gamma(2.5), rel=1e-6)
+    assert r.bi == pytest.approx(0.5248, abs=1e-9)
+    assert r.k == pytest.approx(1.8540746773013719) and r.e == pytest.approx(1.3506438810476755)
+    assert r.j0 == pytest.approx(0.22389077914123567) and r.j1 == pytest.approx(0.5767248077568734) and r.i1 == pytest.approx(0.9816664285779076)
+    assert math.erf(r.ei) == pytest.approx(0.3) and r.c == pytest.approx(0.05004, abs=1e-4) and r.t == pytest.approx(0.036694, abs=1e-5) and r.d == pytest.approx(-0.5772156649015329)
+
+
+@pytest.mark.parametrize("name", ["beta", "binomial", "chisquare", "exponential", "f", "gamma", "geometric", "gumbel", "hypergeometric", "laplace", "logistic", "lognormal", "logseries", "negative_binomial", "noncentral_chisquare", "noncentral_f", "normal", "pareto", "poisson", "power", "random", "rayleigh", "standard_cauchy", "standard_exponential", "standard_gamma", "standard_normal", "standard_t", "triangular", "uniform", "vonmises", "wald", "weibull", "zipf", "integers"])
+def test_distributions(spark, name):
+    args = {"beta": (1, 2), "binomial": (9, 0.5), "chisquare": (3,), "f": (3, 9), "gamma": (2,), "geometric": (0.4,), "hypergeometric": (5, 6, 4), "logseries": (0.5,), "negative_binomial": (3, 0.5), "noncentral_chisquare": (3, 1), "noncentral_f": (3, 9, 1), "pareto": (3,), "power": (2,), "standard_gamma": (2,), "standard_t": (5,), "triangular": (0, 1, 2), "vonmises": (0, 1), "wald": (1, 1), "weibull": (2,), "zipf": (3,), "integers": (0, 9)}.get(name, ())
+    assert arrays.random(spark, name, 50, 1, *args, parts=1).filter("v IS NOT NULL").count() == 50
+
+
+def test_lu(spark):
+    m = np.random.RandomState(5).rand(4, 4)
+    long = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(4) for j in range(4)], "i long, j long, v double")
+    p, low, up = arrays.lu(long, 4)
+    got = arrays.matmul(arrays.matmul(p, low), up).toPandas()
+    back = np.zeros((4, 4))
+    back[got["i"], got["j"]] = got["v"]
+    np.testing.assert_allclose(back, m, atol=1e-12)
+
+
 def test_linear_algebra(spark):
     x = np.random.RandomState(0).rand(40, 3)
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, x array<double>")
