@@ -21,10 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read again: its lineage ends there, and a lost executor loses none of it.
 
-    The files go with the application's checkpoint folder; Parquet keeps column pruning
-    and compression, which RDD checkpoints lack.
+    The files are removed when the application ends; Parquet keeps column pruning and
+    compression, which RDD checkpoints lack.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
