@@ -2,16 +2,18 @@
 
 Words and word pairs of the training documents are counted exactly, by a shuffle of
 sorted hash arrays. Their counts are quantised on a log scale: a count of level q is held
-as the q filter items (n-gram, 1) .. (n-gram, q). The filter has a fixed number of bits,
-one segment per hash bucket, and is built bucket by bucket and broadcast; where not all
-n-grams fit, each bucket holds those with the largest counts. A count is read back by
-probing levels 1, 2, .. until one is absent. The probability of a word after another is
+as the q filter items (n-gram, 1) .. (n-gram, q). The filter has one segment per hash
+bucket, sized by the bucket's exact number of items, so that every n-gram counted is held
+at any input size. It is never in one place: a segment is probed in the task that builds
+it, for the n-grams that each block of documents asks for, and the levels read are sent
+back to the blocks. A count is read back by probing levels 1, 2, .. until one is absent.
+The probability of a word after another is
 
     L * count(pair) / count(first) + (1 - L) * (count(word) + 1) / (N + V + 1)
 
 with the counts so read and L = 1 - (pairs seen once) / (pairs), the Good-Turing mass of
 seen pairs. The base score uses the exact word counts, which are sent back to the blocks
-of documents that asked for them, as arrays in the order asked.
+with the levels, as arrays in the order asked.
 
 Cases: null and empty texts are one end token; with nothing to learn from, N and V are 0
 and the base score is 0; a null id is held out. Repeated rows are learnt from and scored
@@ -34,8 +36,7 @@ from quern.llm.language_id import held_out
 from quern.llm.lineage import stored
 from quern.llm.near_dedup import _runs
 
-#: Bits of the whole filter, so the size of what is broadcast (16 MiB).
-FILTER_BITS = 1 << 27
+#: Least bits of a filter segment for each of its items.
 BITS_PER_ITEM = 10
 PROBES = 5
 #: Counts of level q are about BASE**(q-1) to BASE**q.
@@ -46,7 +47,7 @@ BUCKET_BYTES = 16 << 20
 
 END = np.uint64(0xC0FFEE1234567891)
 _PAIR = np.uint64(0xA24BAED4963EE407)
-UNI, BI = 0, 1
+UNI, BI, TOTAL = 0, 1, 2
 
 
 def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +85,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 
 
 def _send(rbits: int):
-    """Per block and hash bucket the block's words with their training counts, and its training pairs with theirs."""
+    """Per block and hash bucket the block's words and pairs with their training counts, which are 0 in held-out texts."""
     shift, buckets = np.uint64(64 - rbits), 1 << rbits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +94,9 @@ def _send(rbits: int):
             out: list[tuple[int, int, int, bytes, bytes, bytes]] = []
             u, code = np.unique(h, return_inverse=True)
             count = np.bincount(code[train], minlength=len(u)).astype(np.uint32)
-            pair, many = np.unique(_pairs(h)[train], return_counts=True)
-            for kind, keys, n in ((UNI, u, count), (BI, pair, many.astype(np.uint32))):
+            pair, where = np.unique(_pairs(h), return_inverse=True)
+            many = np.bincount(where[train], minlength=len(pair)).astype(np.uint32)
+            for kind, keys, n in ((UNI, u, count), (BI, pair, many)):
                 cut = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64))
                 rest = keys << np.uint64(rbits)
                 high, low = (rest >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(16)).astype(np.uint16)
@@ -125,77 +127,36 @@ def _probes(key: np.ndarray, kind: int, q: int, bits: int) -> Iterator[np.ndarra
         yield ((a + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def segment_bits(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> int:
+    """The power of two of bits that holds all items of a bucket's n-grams."""
+    items = sum(int(level(count[count > 0]).sum()) for _, _, count in parts)
+    return 1 << max(6, (BITS_PER_ITEM * items - 1).bit_length())
+
+
 def segment(parts: list[tuple[int, np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
-    """The filter bits of one bucket's n-grams (kind, 32-bit keys, counts): the first kind may fill half, the next the rest."""
+    """The filter bits of one bucket's n-grams (kind, 32-bit keys, counts), all of them."""
     out = np.zeros(bits, bool)
-    room = bits // BITS_PER_ITEM
-    for share, (kind, key, count) in zip((0.5, 1.0), parts, strict=True):
-        key, count = key[count > 0], count[count > 0]
-        q = level(count)
-        by = np.argsort(-count, kind="stable")
-        total = np.cumsum(q[by])
-        fits = int(np.searchsorted(total, room * share, "right"))
-        if fits < len(by):  # n-grams of one count stay together
-            least = count[by[fits]]
-            fits = int(np.searchsorted(-count[by], -least, "left"))
-        by = by[:fits]
-        room -= int(total[fits - 1]) if fits else 0
-        key, q = key[by], q[by]
-        for j in range(1, int(q.max()) + 1 if fits else 1):
+    for kind, key, count in parts:
+        key, q = key[count > 0], level(count[count > 0])
+        for j in range(1, int(q.max()) + 1 if len(q) else 1):
             for at in _probes(key[q >= j], kind, j, bits):
                 out[at] = True
     return out
 
 
-def _count(bits: int):
-    """Sums each bucket; replies the counts to the blocks (kind 0), and gives the bucket's filter segment and totals (kind 1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches):
-            bucket = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                rows = batch.slice(lo, hi - lo).to_pydict()
-                uni = [i for i, k in enumerate(rows["kind"]) if k == UNI]
-                bi = [i for i, k in enumerate(rows["kind"]) if k == BI]
-                high = np.concatenate([np.frombuffer(rows["high"][i], np.uint32) for i in uni]) if uni else np.zeros(0, np.uint32)
-                low = np.concatenate([np.frombuffer(rows["low"][i], np.uint16) for i in uni]) if uni else np.zeros(0, np.uint16)
-                n = np.concatenate([np.frombuffer(rows["n"][i], np.uint32) for i in uni]) if uni else np.zeros(0, np.uint32)
-                u, code = np.unique((high.astype(np.uint64) << np.uint64(16)) | low, return_inverse=True)
-                count = np.bincount(code, weights=n, minlength=len(u)).astype(np.int64)
-                key = np.concatenate([np.frombuffer(rows["high"][i], np.uint32) for i in bi]) if bi else np.zeros(0, np.uint32)
-                m = np.concatenate([np.frombuffer(rows["n"][i], np.uint32) for i in bi]) if bi else np.zeros(0, np.uint32)
-                pair, where = np.unique(key, return_inverse=True)
-                many = np.bincount(where, weights=m, minlength=len(pair)).astype(np.int64)
-                seg = segment([(UNI, (u >> np.uint64(16)).astype(np.uint32), count), (BI, pair, many)], bits)
-                block, data, at = [], [], 0
-                for i in uni:
-                    size = len(rows["high"][i]) // 4
-                    block.append(rows["block"][i])
-                    data.append(count[code[at : at + size]].tobytes())
-                    at += size
-                k = len(block)
-                kinds, sums = [0] * k + [1], (int(count.sum()), int((count > 0).sum()), int((many == 1).sum()), int(many.sum()))
-                cols = [pa.array(kinds, pa.int32()), pa.array([int(bucket[lo])] * (k + 1), pa.int32()), pa.array([*block, -1], pa.int64()), pa.array([*data, np.packbits(seg).tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array([0] * k + [x], pa.int64()) for x in sums)], names=["kind", "bucket", "block", "data", "n", "v", "once", "pairs"])
-
-    return run
-
-
 class Model:
-    """The filter and the totals; what is broadcast."""
+    """A filter of 2**rbits segments, and its totals; a bucket's own is one segment, probed with hashes within the bucket."""
 
     def __init__(self, segments: dict[int, bytes], rbits: int, bits: int, n: int, v: int, once: int, pairs: int):
-        self.rbits, self.bits, self.n, self.v = rbits, bits, n, v
-        self.mass = 1 - once / pairs if pairs else 0.0
+        self.rbits, self.bits, self.totals = rbits, bits, (n, v, once, pairs)
         empty = bytes(bits // 8)
         self.filter = np.frombuffer(b"".join(segments.get(b, empty) for b in range(1 << rbits)), np.uint8)
 
-    def counts(self, h: np.ndarray, kind: int) -> np.ndarray:
-        """The counts read back for n-gram hashes."""
-        base = (h >> np.uint64(64 - self.rbits)).astype(np.int64) * self.bits
+    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
+        """The levels read back for n-gram hashes."""
+        base = (h >> np.uint64(64 - self.rbits)).astype(np.int64) * self.bits if self.rbits else np.zeros(len(h), np.int64)
         key = ((h << np.uint64(self.rbits)) >> np.uint64(32)).astype(np.uint32)
-        q, live = np.zeros(len(h), np.int64), np.arange(len(h))
+        q, live = np.zeros(len(h), np.uint8), np.arange(len(h))
         j = 0
         while len(live):
             j += 1
@@ -205,37 +166,76 @@ class Model:
                 here &= (self.filter[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
             live = live[here]
             q[live] = j
-        return expected(q)
+        return q
+
+    def counts(self, h: np.ndarray, kind: int) -> np.ndarray:
+        """The counts read back for n-gram hashes."""
+        return expected(self.levels(h, kind).astype(np.int64))
 
-    def log_probabilities(self, h: np.ndarray, u: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each token of a block, whose distinct hashes are u[code]."""
-        pair, where = np.unique(_pairs(h), return_inverse=True)
-        c = self.counts(u, UNI)[code]
-        before = np.empty_like(c)
-        before[0], before[1:] = self.counts(np.array([END]), UNI)[0], c[:-1]
-        both = self.counts(pair, BI)[where]
-        p = np.where((both > 0) & (before > 0), np.minimum(both / np.maximum(before, 1), 1.0), 0.0)
-        return np.log10(self.mass * p + (1 - self.mass) * (c + 1) / (self.n + self.v + 1))
 
+def _count():
+    """Sums each bucket, and gives its totals and, to each block, the exact counts and the levels read of the n-grams it asked for."""
 
-def _score(shared):
-    """Per block of documents the model's scores, and the codes of its tokens in the order in which their counts were asked for."""
+    def joined(rows: dict, which: list[int], name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(rows[name][i] for i in which), kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for block, rows, h, first in _blocks(batches):
-            u, code = np.unique(h, return_inverse=True)
-            score = np.add.reduceat(shared.value.log_probabilities(h, u, code), first[:-1])
-            one = lambda x, kind: pa.array([x], kind)
-            yield pa.RecordBatch.from_arrays(
-                [one(block, pa.int64()), one(-1, pa.int32()), one(pack.compress(code.astype(np.uint32).tobytes()), pa.binary()), one(first.astype(np.int64).tobytes(), pa.binary()), one(rows.column(0).to_pylist(), pa.list_(pa.int64())), one(rows.column(1).to_pylist(), pa.list_(pa.bool_())), one(score, pa.list_(pa.float64()))],
-                names=["block", "bucket", "data", "first", "ids", "held", "score"],
-            )
+        for batch in _runs(batches):
+            bucket = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                rows = batch.slice(lo, hi - lo).to_pydict()
+                uni = [i for i, k in enumerate(rows["kind"]) if k == UNI]
+                bi = [i for i, k in enumerate(rows["kind"]) if k == BI]
+                u, code = np.unique((joined(rows, uni, "high", np.uint32).astype(np.uint64) << np.uint64(16)) | joined(rows, uni, "low", np.uint16), return_inverse=True)
+                count = np.bincount(code, weights=joined(rows, uni, "n", np.uint32), minlength=len(u)).astype(np.int64)
+                pair, where = np.unique(joined(rows, bi, "high", np.uint32), return_inverse=True)
+                many = np.bincount(where, weights=joined(rows, bi, "n", np.uint32), minlength=len(pair)).astype(np.int64)
+                word = (u >> np.uint64(16)).astype(np.uint32)
+                parts = [(UNI, word, count), (BI, pair, many)]
+                bits = segment_bits(parts)
+                m = Model({0: np.packbits(segment(parts, bits)).tobytes()}, 0, bits, int(count.sum()), int((count > 0).sum()), int((many == 1).sum()), int(many.sum()))
+                read = {UNI: m.levels(word.astype(np.uint64) << np.uint64(32), UNI)[code], BI: m.levels(pair.astype(np.uint64) << np.uint64(32), BI)[where]}
+                exact = count[code]
+                block, data, levels = [], [], []
+                for kind, which in ((UNI, uni), (BI, bi)):
+                    at = 0
+                    for i in which:
+                        size = len(rows["high"][i]) // 4
+                        block.append(rows["block"][i])
+                        data.append(exact[at : at + size].tobytes() if kind == UNI else b"")
+                        levels.append(read[kind][at : at + size].tobytes())
+                        at += size
+                k = len(block)
+                cols = [pa.array([UNI] * len(uni) + [BI] * len(bi) + [TOTAL], pa.int32()), pa.array([int(bucket[lo])] * (k + 1), pa.int32()), pa.array([*block, -1], pa.int64()), pa.array([*data, b""], pa.binary()), pa.array([*levels, b""], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array([0] * k + [x], pa.int64()) for x in m.totals)], names=["kind", "bucket", "block", "data", "level", "n", "v", "once", "pairs"])
 
     return run
 
 
-def _base(n: int, v: int):
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block of documents its distinct token hashes, in the order in which their counts were asked for, and its tokens as places in them."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for block, rows, h, first in _blocks(batches):
+        u, code = np.unique(h, return_inverse=True)
+        one = lambda x, kind: pa.array([x], kind)
+        yield pa.RecordBatch.from_arrays(
+            [one(block, pa.int64()), one(-1, pa.int32()), one(-1, pa.int32()), one(pack.compress(code.astype(np.uint32).tobytes()), pa.binary()), one(u.tobytes(), pa.binary()), one(first.astype(np.int64).tobytes(), pa.binary()), one(rows.column(0).to_pylist(), pa.list_(pa.int64())), one(rows.column(1).to_pylist(), pa.list_(pa.bool_()))],
+            names=["block", "bucket", "kind", "data", "level", "first", "ids", "held"],
+        )
+
+
+def _log_probabilities(u: np.ndarray, code: np.ndarray, words: np.ndarray, pairs: np.ndarray, mass: float, n: int, v: int) -> np.ndarray:
+    """log10 probability of each token of a block, whose distinct hashes are u[code], by the counts read of its distinct words and pairs."""
+    c = words[code]
+    before = np.empty_like(c)
+    before[0], before[1:] = words[np.searchsorted(u, END)], c[:-1]
+    both = pairs[np.unique(_pairs(u[code]), return_inverse=True)[1]]
+    p = np.where((both > 0) & (before > 0), np.minimum(both / np.maximum(before, 1), 1.0), 0.0)
+    return np.log10(mass * p + (1 - mass) * (c + 1) / (n + v + 1))
+
+
+def _scores(n: int, v: int, mass: float):
     """Joins each block, which comes first, with the replies to it, in the order of the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,37 +244,38 @@ def _base(n: int, v: int):
             cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])).tolist()
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 rows = batch.slice(lo, hi - lo)
-                data = rows.column(2).to_pylist()
+                kind, data, levels = (rows.column(i).to_pylist() for i in (2, 3, 4))
                 code = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[0]), np.uint32)
+                u = np.frombuffer(levels[0], np.uint64)
                 c = np.frombuffer(b"".join(data[1:]), np.int64)
-                first = np.frombuffer(rows.column(3)[0].as_py(), np.int64)
+                words, pairs = (expected(np.frombuffer(b"".join(x for x, y in zip(levels, kind, strict=True) if y == which), np.uint8).astype(np.int64)) for which in (UNI, BI))
+                first = np.frombuffer(rows.column(5)[0].as_py(), np.int64)
                 base = np.add.reduceat((np.log10(c + 1.0) - np.log10(n + v + 1.0))[code], first[:-1])
                 known = np.add.reduceat((c > 0)[code], first[:-1], dtype=np.int64)
-                ids = pa.array(rows.column(4)[0].as_py(), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(rows.column(5)[0].as_py(), pa.bool_()), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(known), n)), pa.array(base), pa.array(rows.column(6)[0].as_py(), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                score = np.add.reduceat(_log_probabilities(u, code, words, pairs, mass, n, v), first[:-1])
+                ids = pa.array(rows.column(6)[0].as_py(), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(rows.column(7)[0].as_py(), pa.bool_()), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(known), n)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held=None, filter_bits: int = FILTER_BITS) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held=None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learning from the rows that are not held out."""
     spark = docs.sparkSession
     held = held_out(doc_id, 7, 2) if held is None else held
     src = docs.select(F.col(doc_id).cast("long").alias("id"), held.alias("held"), F.col(text).cast("string").alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rbits = max(4, int(size // BUCKET_BYTES).bit_length())
-    bits = max(64, filter_bits >> rbits)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << rbits)
     sent = src.mapInArrow(_send(rbits), "bucket int, kind int, block long, high binary, low binary, n binary")
-    counted = stored(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(bits), "kind int, bucket int, block long, data binary, n long, v long, once long, pairs long"))
-    n, v, once, pairs = (x or 0 for x in counted.filter("kind = 1").agg(*[F.sum(c) for c in ("n", "v", "once", "pairs")]).first())
-    segments = {r["bucket"]: bytes(r["data"]) for r in counted.filter("kind = 1").select("bucket", "data").toLocalIterator()}
-    shared = spark.sparkContext.broadcast(Model(segments, rbits, bits, n, v, once, pairs))
-    names = ["block", "bucket", "data", "first", "ids", "held", "score"]
-    asked = src.mapInArrow(_score(shared), "block long, bucket int, data binary, first binary, ids array<long>, held array<boolean>, score array<double>")
-    replies = counted.filter("kind = 0").select("block", "bucket", "data", F.lit(None).cast("binary").alias("first"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held"), F.lit(None).cast("array<double>").alias("score"))
+    counted = stored(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(), "kind int, bucket int, block long, data binary, level binary, n long, v long, once long, pairs long"))
+    n, v, once, pairs = (x or 0 for x in counted.filter(F.col("kind") == TOTAL).agg(*[F.sum(c) for c in ("n", "v", "once", "pairs")]).first())
+    mass = 1 - once / pairs if pairs else 0.0
+    names = ["block", "bucket", "kind", "data", "level", "first", "ids", "held"]
+    asked = src.mapInArrow(_ask, "block long, bucket int, kind int, data binary, level binary, first binary, ids array<long>, held array<boolean>")
+    replies = counted.filter(F.col("kind") != TOTAL).select("block", "bucket", "kind", "data", "level", F.lit(None).cast("binary").alias("first"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held"))
     both = asked.select(*names).union(replies.select(*names)).repartition(parts, "block").sortWithinPartitions("block", "bucket")
-    return both.mapInArrow(_base(n, v), f"{doc_id} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.mapInArrow(_scores(n, v, mass), f"{doc_id} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -189,6 +189,45 @@ def test_filter_reads_counts_back():
     assert np.mean(absent > 0) < 0.05
 
 
+def test_filter_holds_every_ngram_at_any_size(spark):
+    # More pairs seen once than a filter of a fixed 2**27 bits takes in one of 16 buckets, next to frequent ones.
+    key = np.arange(1_200_000, dtype=np.uint32) * np.uint32(3571)
+    count = np.where(np.arange(len(key)) % 100 == 0, 40, 1)
+    parts = [(language_model.UNI, key[:500_000], count[:500_000]), (language_model.BI, key, count)]
+    bits = language_model.segment_bits(parts)
+    m = language_model.Model({0: np.packbits(language_model.segment(parts, bits)).tobytes()}, 0, bits, 1, 1, 0, 1)
+    for kind, k, n in parts:
+        read = m.counts(k.astype(np.uint64) << np.uint64(32), kind)
+        assert (read >= language_model.expected(language_model.level(n))).all()
+        assert np.mean(read == language_model.expected(language_model.level(n))) > 0.95
+
+
+def test_lm_scores_equal_counting(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 1 << 14)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 1 << 13)
+    rows = cases.awkward()
+    held = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 == 2
+    tokens = lambda t: [*cases.SPACED.findall((t or "").translate(cases.LOWER)), None]
+    learnt = [tokens(t) for d, t, *_ in rows if not held(d)]
+    words = Counter(w for t in learnt for w in t)
+    pairs = Counter(p for t in learnt for p in zip([None, *t], t, strict=False))
+    n, v = sum(words.values()), len(words)
+    mass = 1 - sum(x == 1 for x in pairs.values()) / sum(pairs.values())
+    read = lambda x: float(language_model.expected(language_model.level(np.array([x])))[0]) if x else 0.0
+
+    def score(t):
+        p = lambda a, b: min(read(pairs[a, b]) / read(words[a]), 1.0) if words[a] else 0.0
+        return sum(math.log10(mass * p(a, b) + (1 - mass) * (read(words[b]) + 1) / (n + v + 1)) for a, b in zip([None, *tokens(t)], tokens(t), strict=False))
+
+    got = language_model.score_documents(cases.frame(spark)).collect()
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    want = sorted((str(d), len(tokens(t)), score(t)) for d, t, *_ in rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    # False positives of the filter aside, the scores are those of the quantised counts.
+    assert np.median([abs(x[2] - y[2]) / x[1] for x, y in zip(got, want, strict=True)]) < 0.02
+    assert max(abs(x[2] - y[2]) / x[1] for x, y in zip(got, want, strict=True)) < 0.25
+
+
 def test_lm_beats_base_on_held_out(spark):
     r = language_model.op4_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
