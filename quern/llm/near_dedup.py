@@ -3,12 +3,19 @@
 A text is the set of its k-word shingles. Equal sets are one class. Each class walks
 down TREES independent trees: at every level of a tree it follows the branch named by
 one minwise token of its set, so two sets stay together with the probability of their
-Jaccard similarity. A node of few classes is compared exhaustively on 8-bit minwise
-sketches; a larger one branches on. What is still large at the deepest level goes on as
-one star. The links found so far only bound where true links can lie: their components
-are groups whose full shingle sets are then compared exactly, in blocks of a bounded
-size. A pair at the threshold t is lost with probability (1 - t**3)**TREES at the first
-level, about 2e-7 for t = 0.85 and 2e-5 for t = 0.8 with 16 trees.
+Jaccard similarity. A node of few classes, NEAR levels down, is compared exhaustively on
+8-bit minwise sketches. The classes of larger nodes branch on together: each takes
+BRANCHES paths of DEEP tokens, drawn from all its tokens. A node of few classes there is
+compared, a larger one goes on as one star. The links found so far only bound where true
+links can lie: their components are groups whose full shingle sets are then compared
+exactly, in blocks of a bounded size.
+
+A pair at the threshold t shares no node at the first level with probability
+(1 - t**NEAR)**TREES, 2.4e-7 for t = 0.85 and 1.03e-5 for t = 0.8. If it shares one and
+all it shares are large, both sets branch on, and then they share no path with probability
+1.1e-8 and 4.6e-6 at most: the mean of (1 - C(m, DEEP) / C(128, DEEP))**BRANCHES over the
+m of 128 tokens that agree. So a pair is lost with probability 2.5e-7 or 1.5e-5 at most,
+however large its nodes are.
 
 A group above a block's size is dealt over blocks by hash; a few of its classes visit
 all its blocks, and then all classes that did not end up in its largest component do, so
@@ -34,8 +41,10 @@ from quern.llm.components import connected_components
 from quern.llm.lineage import stored
 
 TREES = 16
-#: Depth of the nodes looked at; a node above LEAF classes is split at the next depth.
-DEPTHS = (3, 5, 8)
+#: Tokens that name a node of a tree; the classes of a node above LEAF take BRANCHES paths of DEEP tokens.
+NEAR = 3
+DEEP = 8
+BRANCHES = 160
 LEAF = 32
 #: Sketches below the threshold less this are no candidates: 4.5 standard deviations at 128 tokens.
 SLACK = 0.16
@@ -46,7 +55,9 @@ ID_BUCKETS = 1 << 19
 #: Classes of a large group that visit all its blocks first.
 HUBS = 8
 
-_FUNCTIONS = np.random.default_rng(77).integers(1, 2**63, TREES * DEPTHS[-1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FUNCTIONS = np.random.default_rng(77).integers(1, 2**63, TREES * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The tokens of each path; the paths of one permutation have none in common.
+_PATHS = np.concatenate([np.random.default_rng(78 + i).permutation(TREES * DEEP).reshape(-1, DEEP) for i in range(BRANCHES // TREES)])
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -60,7 +71,7 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def fingerprint(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(id, n, h1, h2, keys, sketch): size and 128-bit hash of the set, a branch key per depth and tree, and the sketch."""
+    """(id, n, h1, h2, keys, sketch): size and 128-bit hash of the set, a branch key per tree, and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,14 +91,11 @@ def fingerprint(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                     h[0, full] = np.add.reduceat(T.mix(x), at)
                     h[1, full] = np.add.reduceat(T.mix(x ^ np.uint64(0x5851F42D4C957F2D)), at)
                     byte = sig.astype(np.uint8)
-                    path = sig.reshape(len(full), TREES, DEPTHS[-1]).astype(np.uint64)
+                    path = sig.reshape(len(full), TREES, DEEP).astype(np.uint64)
                     run_key = T.mix(np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), (len(full), TREES)).copy())
-                    levels = []
-                    for d in range(DEPTHS[-1]):
+                    for d in range(NEAR):
                         run_key = T.mix(run_key * np.uint64(0x9E3779B97F4A7C15) + path[:, :, d])
-                        if d + 1 in DEPTHS:
-                            levels.append(run_key.view(np.int64))
-                    packed = np.concatenate(levels, axis=1)
+                    packed = run_key.view(np.int64)
                     for r, i in enumerate(full.tolist()):
                         keys[i], sketch[i] = packed[r], byte[r].tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -186,24 +194,29 @@ def _leaf_links(least: float):
     return run
 
 
+def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, sketch): (id, key) of each path."""
+    tree = T.mix(np.arange(1, len(_PATHS) + 1, dtype=np.uint64))
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 512):
+            batch = whole.slice(lo, 512)
+            sk = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            key = T.mix(np.ascontiguousarray(sk[:, _PATHS]).view(np.uint64)[:, :, 0] * np.uint64(0x9E3779B97F4A7C15) + tree)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(_PATHS))), pa.array(key.view(np.int64).ravel())], names=["id", "key"])
+
+
 def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b) between classes (id, keys, sketch): their components hold every link that the trees find."""
-    n = len(DEPTHS)
-    level = [F.slice("keys", d * TREES + 1, TREES).alias(f"k{d}") for d in range(n)]
-    rows = classes.select("id", F.explode(F.arrays_zip(*level)).alias("k")).select("id", *[F.col(f"k.k{d}").alias(f"k{d}") for d in range(n)])
-    leaves, stars = [], None
-    for d in range(n):
-        size = rows.groupBy(f"k{d}").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1")
-        met = stored(rows.join(size, f"k{d}").select("id", F.col(f"k{d}").alias("key"), "size", "hub", *[f"k{x}" for x in range(d + 1, n)]))
-        leaves.append(met.filter(F.col("size") <= LEAF).select("key", "id"))
-        large = met.filter(F.col("size") > LEAF)
-        if d + 1 == n:
-            stars = large.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        else:
-            rows = large.select("id", *[f"k{x}" for x in range(d + 1, n)])
-    leaf = leaves[0]
-    for x in leaves[1:]:
-        leaf = leaf.union(x)
+
+    def met(rows: DataFrame) -> DataFrame:
+        size = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1")
+        return stored(rows.join(size, "key").select("id", "key", "size", "hub"))
+
+    first = met(classes.select("id", F.explode("keys").alias("key")))
+    crowded = first.filter(F.col("size") > LEAF).select("id").distinct()
+    deep = met(stored(classes.select("id", "sketch").join(crowded, "id", "left_semi").mapInArrow(_branches, "id long, key long")))
+    stars = deep.filter((F.col("size") > LEAF) & (F.col("id") != F.col("hub"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    leaf = first.union(deep).filter(F.col("size") <= LEAF).select("key", "id")
     with_sketch = leaf.join(classes.select("id", "sketch"), "id").select("key", "id", "sketch")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = with_sketch.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_leaf_links(threshold - SLACK), "a long, b long")

@@ -103,6 +103,16 @@ def test_near_dedup_branches_and_deals_large_groups(spark, monkeypatch):
     assert got == cases.components(rows, 3, 85)
 
 
+def test_near_dedup_finds_pairs_in_a_large_group_that_shares_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 4)
+    passage = " ".join(f"p{i}" for i in range(124))
+    say = lambda kind, i, n: " ".join(f"{kind}{i}_{j}" for j in range(n))
+    # 122 shingles of the passage and 41 more in the pair's intersection, 201 in its union; 122 of 242 between pairs.
+    rows = [(2 * i + h, f"{passage} {say('c', i, 41)} {say('uv'[h], i, 19)}", None, None) for i in range(1500) for h in (0, 1)]
+    got = near_dedup.link_components(cases.frame(spark, rows), k=3, percent=80).collect()
+    assert sum(r.component_id == r.doc_id // 2 * 2 for r in got) == len(rows)
+
+
 def test_keep_one_keeps_one_of_each(spark):
     docs = cases.frame(spark)
     got = near_dedup.keep_one(docs)
