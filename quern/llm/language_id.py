@@ -30,6 +30,8 @@ SLOTS = 96
 #: A text is compressed in pieces of so many bytes.
 PIECE = 2048
 LEVEL = 5
+#: Texts of fewer characters are samples only of a language that has no longer ones.
+SHORT = 32
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: A text is rejected if the second best language needs less than this share more bytes.
 MIN_MARGIN = 0.004
@@ -43,26 +45,28 @@ def train_dictionaries(labelled: DataFrame, text: str = "text", lang: str = "lan
     """A bounded dictionary per language from the rows with a label and a text.
 
     Texts fall into SLOTS by their hash, and a slot keeps the text with the least second
-    hash, so the sample depends on the set of texts alone: not on order, copies or
-    partitions. At most SLOTS samples per language reach the driver. The languages come
+    hash, one of SHORT characters or more if there is one, so the sample depends on the set
+    of texts alone: not on order, copies or partitions. At most SLOTS samples per language reach the driver. The languages come
     in the order in which ties are resolved.
     """
     t = F.col(text)
     share = max(1, 4 * dict_bytes // SLOTS)
     rows = (
         labelled.select(F.col(lang).cast("string").alias("lang"), t.cast("string").alias("text"))
-        .filter(F.col("lang").isNotNull() & (F.length("text") >= 32))
-        .select("lang", F.pmod(F.xxhash64("text"), F.lit(SLOTS)).alias("slot"), F.xxhash64("text", F.lit(7)).alias("h"), F.substring("text", 1, share).alias("sample"))
+        .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+        .select("lang", F.pmod(F.xxhash64("text"), F.lit(SLOTS)).alias("slot"), (F.length("text") < SHORT).alias("short"), F.xxhash64("text", F.lit(7)).alias("h"), F.substring("text", 1, share).alias("sample"))
         .groupBy("lang", "slot")
-        .agg(F.min(F.struct("h", "sample")).alias("m"), F.count("*").alias("n"))
-        .select("lang", "slot", "m.h", "m.sample", "n")
+        .agg(F.min(F.struct("short", "h", "sample")).alias("m"), F.count("*").alias("n"))
+        .select("lang", "slot", "m.short", "m.h", "m.sample", "n")
         .orderBy("lang", "h")
         .collect()
     )
     parts: dict[str, list[bytes]] = {}
     count: dict[str, int] = {}
+    longer = {r["lang"] for r in rows if not r["short"]}
     for r in rows:
-        parts.setdefault(r["lang"], []).append(normalised(r["sample"]))
+        if not (r["short"] and r["lang"] in longer):
+            parts.setdefault(r["lang"], []).append(normalised(r["sample"]))
         count[r["lang"]] = count.get(r["lang"], 0) + r["n"]
     return {k: b" ".join(parts[k])[-dict_bytes:] for k in sorted(parts, key=lambda k: (-count[k], k))}
 

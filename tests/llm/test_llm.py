@@ -67,6 +67,12 @@ def test_language_of_awkward_texts(spark):
     assert language_id.identify(docs.limit(0), d).count() == 0
 
 
+def test_language_of_short_texts_alone_is_learnt(spark):
+    rows = [(i, f"the quick brown fox number {'abcdefgh'[i]} jumps over the lazy dog", "en", None) for i in range(8)] + [(9, "short", "en", None), (10, "ceci est court", "fr", None)]
+    d = language_id.train_dictionaries(cases.frame(spark, rows))
+    assert set(d) == {"en", "fr"} and d["fr"] == b"ceci est court" and b"short" not in d["en"]
+
+
 # Near-duplicates.
 
 
