@@ -37,7 +37,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     now = stored(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seal = None
     for _ in range(most_rounds):
-        now = stored(_star(_star(now, True), False))
+        now = stored(_star(_star(now, True), False), instead_of=now)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == seal:
             break

@@ -1,32 +1,61 @@
-"""Cutting lineage in storage that all executors share."""
+"""Cutting lineage in storage that all executors share, and column names of one's own."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, one machine) a new local folder, set for the session."""
+    """spark.checkpoint.dir; where it is unset, on one machine, a new local folder, set for the session.
+
+    On a cluster a local folder would be another one on each machine, so the setting is required there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """The frame written to the shared folder and read again: its lineage ends there, and a lost executor loses none of it.
 
-    The files are removed when the application ends; Parquet keeps column pruning and
-    compression, which RDD checkpoints lack.
+    The files are removed when the application ends, or with a later table stored
+    `instead_of` this one; Parquet keeps column pruning and compression, which RDD
+    checkpoints lack.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_in = where
+    if instead_of is not None and getattr(instead_of, "stored_in", None):
+        files.delete(instead_of.stored_in, True)
+    return out
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores as make it differ from all that are taken, letter case aside."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def refuse_clash(doc_id: str, outputs: Iterable[str]) -> None:
+    """An id column may not have the name of another column of the result."""
+    if doc_id.lower() in {c.lower() for c in outputs}:
+        raise ValueError(f"the id column is named {doc_id!r}, as another column of the result is; rename it first")

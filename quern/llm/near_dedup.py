@@ -17,14 +17,21 @@ all it shares are large, both sets branch on, and then they share no path with p
 m of 128 tokens that agree. So a pair is lost with probability 2.5e-7 or 1.5e-5 at most,
 however large its nodes are.
 
-A group above a block's size is dealt over blocks by hash; a few of its classes visit
-all its blocks, and then all classes that did not end up in its largest component do, so
-that every pair that could still join two components meets in some block. Pairs inside a
-component are never written out: a block returns a spanning forest.
+A group above a block's size is dealt over blocks by hash, and a few of its classes visit
+all its blocks. Of the pairs left, only those with a class outside the group's largest
+component can still join two components. Where these classes fill a block or two, they
+meet every block of the group in tiles of two blocks. Where they are more, as the pages of
+one template are, a prefix filter comes first: with a set's shingles in order of their
+frequency in the group, two sets that link share one of their first n - least overlap + 1.
+Shingles of one class alone open most prefixes, so classes that can link with nothing drop
+out; a shared shingle of at most LIGHT classes names its pairs, which are compared one by
+one, and classes whose prefixes reach more frequent shingles meet in tiles, as above. Pairs
+inside a component are never written out: a block returns a spanning forest.
 
 Cases: null and word-free texts have the empty set and link with nothing; a null id
 links with nothing and is kept, with a null component; rows of one id are one node.
-Repeated rows come out once each. Other columns are ignored.
+Repeated rows come out once each. Other columns are ignored, or kept by `keep_one`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import textcore as T
 from quern.llm.components import connected_components
-from quern.llm.lineage import stored
+from quern.llm.lineage import free_names, refuse_clash, stored
 
 TREES = 16
 #: Tokens that name a node of a tree; the classes of a node above LEAF take BRANCHES paths of DEEP tokens.
@@ -54,6 +61,15 @@ BLOCK = 150_000
 ID_BUCKETS = 1 << 19
 #: Classes of a large group that visit all its blocks first.
 HUBS = 8
+#: Blocks of classes outside a group's largest component that meet all its blocks without a prefix filter.
+DIRECT = 2
+#: A shingle in more classes of a group than this names no pairs: the classes meet in tiles.
+LIGHT = 64
+#: Candidates that are compared with one class in a task.
+FEW = 256
+#: Classes in a tree node above which its rows are dealt over SALTS tasks.
+CROWD = 1024
+SALTS = 64
 
 _FUNCTIONS = np.random.default_rng(77).integers(1, 2**63, TREES * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: The tokens of each path; the paths of one permutation have none in common.
@@ -209,8 +225,17 @@ def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b) between classes (id, keys, sketch): their components hold every link that the trees find."""
 
     def met(rows: DataFrame) -> DataFrame:
-        size = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1")
-        return stored(rows.join(size, "key").select("id", "key", "size", "hub"))
+        """The rows of nodes that two classes or more are in, with the node's size and least id.
+
+        Rows in the hash buckets of crowded nodes are salted, so no task gets a node whole;
+        the buckets are at most ID_BUCKETS numbers.
+        """
+        size = stored(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1"))
+        bucket = F.pmod(F.xxhash64("key"), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
+        crowds = F.broadcast(size.filter(F.col("size") > CROWD).select(bucket).distinct().withColumn("salts", F.lit(SALTS)))
+        dealt = rows.select("*", bucket).join(crowds, "bucket", "left").select("id", "key", F.pmod(F.xxhash64("id", F.lit(9)), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+        each = size.select("*", bucket).join(crowds, "bucket", "left").select("key", "size", "hub", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        return stored(dealt.join(each, ["key", "salt"]).select("id", "key", "size", "hub"))
 
     first = met(classes.select("id", F.explode("keys").alias("key")))
     crowded = first.filter(F.col("size") > LEAF).select("id").distinct()
@@ -224,19 +249,22 @@ def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _exact_links(k: int, percent: int):
-    """From (block, visit, id, text) sorted by block: a spanning forest of the links, confirmed on full sets.
+    """From (block, visit, id, text, late) sorted by block: a spanning forest of the links, confirmed on full sets.
 
-    visit 0: at home here; 1: a visitor, compared with all; 2: at home, but compared with visitors alone.
+    visit 0: at home here; 1: a visitor, compared with all; 2: at home, but compared with
+    visitors alone. `late` shingles of a set are known to be in none of the others here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches):
             block = batch.column(0).to_numpy()
-            visit, ids = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            visit, ids, none = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(4).to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])).tolist()
             la: list[int] = []
             lb: list[int] = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if (visit[lo:hi] == 2).all():
+                    continue
                 data, off = T.text_buffers(batch.column(3).slice(lo, hi - lo))
                 sets: list[np.ndarray] = []
                 for p, q in T.slices(off):
@@ -247,18 +275,24 @@ def _exact_links(k: int, percent: int):
                 marked = np.zeros(len(code) and int(code.max()) + 1, bool)
                 forest = _Forest(hi - lo)
                 who, role = ids[lo:hi], visit[lo:hi]
+                open_to = n - none[lo:hi]
                 order = np.argsort(-role * (role == 1), kind="stable").tolist()
                 trees = hi - lo
                 for p in order:
                     if role[p] == 2 or trees == 1:
                         break
+                    # Of no pair may the intersection be larger than what both sets have open.
+                    may = (n > 0) & ((100 + percent) * np.minimum(open_to, open_to[p]) >= percent * (n + n[p]))
+                    may[p] = False
+                    if not may.any():
+                        continue
                     mine = code[at[p] : at[p + 1]]
                     marked[mine] = True
                     both = np.add.reduceat(np.append(marked[code], False), at[:-1], dtype=np.int64)
                     marked[mine] = False
-                    linked = (100 * both >= percent * (n + n[p] - both)) & (n > 0)
+                    linked = may & (100 * both >= percent * (n + n[p] - both))
                     for q in np.flatnonzero(linked).tolist():
-                        if q != p and forest.join(p, q):
+                        if forest.join(p, q):
                             trees -= 1
                             if who[p] != who[q]:
                                 la.append(max(who[p], who[q]))
@@ -270,7 +304,7 @@ def _exact_links(k: int, percent: int):
 
 def _compare(blocks: DataFrame, k: int, percent: int) -> DataFrame:
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.select("block", "visit", "id", "text").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_exact_links(k, percent), "a long, b long")
+    return blocks.select("block", "visit", "id", "text", "late").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_exact_links(k, percent), "a long, b long")
 
 
 def maybe_among(rows: DataFrame, ids: DataFrame, id_column: str, absent: bool = False) -> DataFrame:
@@ -281,46 +315,125 @@ def maybe_among(rows: DataFrame, ids: DataFrame, id_column: str, absent: bool =
     """
 
     def bucket(c: str):
-        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BUCKETS)).cast("int")
+        return F.pmod(F.xxhash64(F.col(f"`{c}`").cast("long")), F.lit(ID_BUCKETS)).cast("int")
+
+    (name,) = free_names(rows.columns, "bucket")
+    some = ids.select(bucket("id").alias(name)).distinct()
+    return rows.withColumn(name, bucket(id_column)).join(F.broadcast(some), name, "left_anti" if absent else "left_semi").drop(name)
+
+
+def _shingle_rows(k: int):
+    """From (component, id, text): a row per distinct shingle (component, id, copy, n, token)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = T.text_buffers(batch.column(2))
+            for lo, hi in T.slices(off):
+                sets = T.shingle_sets(T.Words(data, off[lo : hi + 1], T.SPACE), k)
+                n = np.array([len(s) for s in sets], np.int64)
+                token = np.concatenate(sets)
+                copy = np.array([np.bitwise_xor.reduce(T.mix(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+                take = pa.array(np.repeat(np.arange(lo, hi), n))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.repeat(copy, n)), pa.array(np.repeat(n, n)), pa.array(token.view(np.int64))],
+                    names=["component", "id", "copy", "n", "token"],
+                )
+
+    return run
 
-    some = ids.select(bucket("id").alias("__bucket")).distinct()
-    return rows.withColumn("__bucket", bucket(id_column)).join(F.broadcast(some), "__bucket", "left_anti" if absent else "left_semi").drop("__bucket")
+
+def prefixes(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(component, id, n, rest, at, df, token) of the shingles that a class must share one of to link, `at` being their places in order of frequency.
+
+    From members (component, id, text, rest). Shingles of one class, and those of no class
+    in `rest`, are not given.
+    """
+    once = members.select("component", "id", "text", "rest")
+    every = stored(once.select("component", "id", "text").mapInArrow(_shingle_rows(k), "component long, id long, copy long, n long, token long").distinct())
+    flag = once.groupBy("id").agg(F.max("rest").alias("rest"))
+    df = every.groupBy("component", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    sets = every.join(df, ["component", "token"]).groupBy("component", "id", "copy", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    least = F.ceil(F.col("n") * percent / 100)
+    first = sets.withColumn("alone", alone).withColumn("head", F.slice("shared", F.lit(1), F.greatest(F.col("n") - least + 1 - alone, F.lit(0)).cast("int"))).filter("size(head) > 0")
+    return stored(first.select("component", "id", "n", "alone", F.posexplode("head").alias("place", "s")).join(flag, "id").select("component", "id", "n", "rest", (F.col("alone") + F.col("place")).alias("at"), "s.df", "s.token"))
+
+
+def light_pairs(heads: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the pairs, x outside the largest component, that share a light shingle of their prefixes and can reach the overlap from there."""
+    x = heads.filter(F.col("rest") & (F.col("df") <= LIGHT)).select("component", "token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    y = heads.filter(F.col("df") <= LIGHT).select("component", "token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), "rest")
+    reach = (100 + percent) * F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= percent * (F.col("nx") + F.col("ny"))
+    return x.join(y, ["component", "token"]).filter((F.col("x") != F.col("y")) & (~F.col("rest") | (F.col("x") < F.col("y"))) & reach).select("x", "y").distinct()
+
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """(block, visit, id, text, late): every class of `rest` meets every class of its group, in tiles of two blocks."""
+    weight = members.groupBy("component").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("out"))
+    dealt = members.join(weight, "component").withColumn("rows", F.ceil(F.col("out") / BLOCK).cast("int")).withColumn("cols", F.ceil(F.col("all") / BLOCK).cast("int")).filter("rows > 0")
+    own = lambda parts: F.pmod(F.xxhash64("id", F.lit(21)), F.col(parts)).cast("int")
+    to = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    home = dealt.select("component", "id", "text", "late", to("rows").alias("i"), own("cols").alias("j"), F.lit(2).alias("visit"))
+    visitors = dealt.filter("rest").select("component", "id", "text", "late", own("rows").alias("i"), to("cols").alias("j"), F.lit(1).alias("visit"))
+    return home.union(visitors).select(F.xxhash64("component", F.lit(22), "i", "j").alias("block"), "visit", "id", "text", "late")
+
+
+def _pair_blocks(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(block, visit, id, text, late): every x meets its y, at most about FEW of them in a block."""
+    count = pairs.groupBy("x").agg(F.ceil(F.count("*") / FEW).cast("int").alias("parts"))
+    block = lambda part: F.xxhash64(F.col("x"), F.lit(23), part)
+    y = pairs.join(count, "x").select(block(F.pmod(F.xxhash64("y"), F.col("parts"))).alias("block"), F.lit(2).alias("visit"), F.col("y").alias("id"))
+    x = count.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part")).select(block(F.col("part")).alias("block"), F.lit(1).alias("visit"), F.col("x").alias("id"))
+    return y.union(x).join(texts, "id").select("block", "visit", "id", "text", F.lit(0).cast("long").alias("late"))
+
+
+def _crossing_links(large: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links that join classes of `rest` with others of their group; large: (component, id, n, text, rest)."""
+    out = large.groupBy("component").agg(F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("crossing")).filter("crossing > 0")
+    large = stored(large.join(out, "component"))
+    few = large.filter(F.col("crossing") <= DIRECT * BLOCK)
+    links = _compare(_tiles(few.withColumn("late", F.lit(0).cast("long"))), k, percent)
+    many = large.filter(F.col("crossing") > DIRECT * BLOCK)
+    if many.limit(1).count():
+        heads = prefixes(many, k, percent)
+        pairs = stored(light_pairs(heads, percent))
+        late = heads.filter(F.col("df") > LIGHT).groupBy("id").agg(F.min("at").alias("late"))
+        links = links.union(_compare(_pair_blocks(pairs, many.select("id", "text")), k, percent)).union(_compare(_tiles(many.join(late, "id")), k, percent))
+    return links
 
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; rows link if 100 * intersection >= percent * union."""
+    refuse_clash(doc_id, ["n_shingles", "component_id", "kept"])
     prints = stored(fingerprint(docs, doc_id, text, k))
     same = stored(prints.filter("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     reps = prints.filter("id IS NOT NULL").join(same.select("h1", "h2", "n", F.col("rep").alias("id")), ["h1", "h2", "n", "id"], "left_semi").dropDuplicates(["id", "h1", "h2"])
     # Rows of one id with different sets are tied by their id; the exact step sees the text of each.
     rough = connected_components(candidate_links(reps.select("id", "keys", "sketch"), percent / 100))
 
-    member = stored(reps.select("id", "n", "h1").join(rough, "id").select("id", "n", "component"))
+    member = stored(reps.select("id", "n", "h1").join(rough, "id").groupBy("id", "component").agg(F.sum("n").alias("n")))
     groups = member.groupBy("component").agg(F.sum("n").alias("weight"))
-    dealt = member.join(groups, "component").select("id", "component", F.ceil(F.col("weight") / BLOCK).cast("int").alias("parts"))
-    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).distinct()
+    dealt = member.join(groups, "component").select("id", "n", "component", F.ceil(F.col("weight") / BLOCK).cast("int").alias("parts"))
+    dealt = dealt.withColumn("home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     rows = stored(maybe_among(texts, dealt, "id").join(dealt, "id"))
 
     def block(part):
         return F.xxhash64("component", part)
 
-    small = rows.select(block(F.col("home")).alias("block"), F.lit(0).alias("visit"), "id", "text")
+    none = F.lit(0).cast("long").alias("late")
+    small = rows.select(block(F.col("home")).alias("block"), F.lit(0).alias("visit"), "id", "text", none)
     large = rows.filter("parts > 1")
     hubs = dealt.filter("parts > 1").groupBy("component", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(HUBS)).alias("slot")).agg(F.min_by("id", F.xxhash64("id", F.lit(5))).alias("id")).select("id")
-
-    def visitors(which: DataFrame) -> DataFrame:
-        return large.join(which, "id", "left_semi").select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "component", "id", "text").select(block(F.col("part")).alias("block"), F.lit(1).alias("visit"), "id", "text")
-
-    links = stored(_compare(small.union(visitors(hubs)), k, percent))
+    visitors = large.join(hubs, "id", "left_semi").select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "component", "id", "text").select(block(F.col("part")).alias("block"), F.lit(1).alias("visit"), "id", "text", none)
+    links = stored(_compare(small.union(visitors), k, percent))
     found = connected_components(links)
     if large.limit(1).count():
         settled = stored(dealt.filter("parts > 1").select("id", "component").join(found.withColumnRenamed("component", "now"), "id", "left").select("id", "component", F.coalesce("now", "id").alias("now")))
         sizes = settled.groupBy("component", "now").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("component").agg(F.max_by("now", F.struct("size", "now")).alias("now"))
-        rest = settled.join(main, ["component", "now"], "left_anti").select("id").distinct()
-        home = large.select(block(F.col("home")).alias("block"), F.lit(2).alias("visit"), "id", "text")
-        more = stored(_compare(home.union(visitors(rest)), k, percent))
+        main = sizes.groupBy("component").agg(F.max_by("now", F.struct("size", "now")).alias("main"))
+        rest = settled.join(main, "component").select("id", (F.col("now") != F.col("main")).alias("rest"))
+        more = stored(_crossing_links(large.join(rest, "id").select("component", "id", "n", "text", "rest"), k, percent))
         found = connected_components(links.union(more))
     # Rows of one id are one node even if their sets differ.
     ties = prints.filter("n > 0 AND id IS NOT NULL").select("id", "h1", "h2", "n").join(same, ["h1", "h2", "n"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -341,13 +454,17 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all their columns, less the near copies: of each component, and of rows of one id, one row stays."""
-    marks = link_components(docs, doc_id, text, k, percent)
-    gone = stored(marks.filter("NOT kept").select(F.col(doc_id).cast("long").alias("id")).distinct())
-    twice = stored(marks.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id"))
+    marks = link_components(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", k, percent)
+    marks = stored(marks.filter("id IS NOT NULL").select("id", "kept"))
+    gone = stored(marks.filter("NOT kept").select("id").distinct())
+    twice = marks.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
     touched = stored(gone.union(twice).distinct())
-    free = maybe_among(docs.filter(F.col(doc_id).isNotNull()), touched, doc_id, absent=True).union(docs.filter(F.col(doc_id).isNull()))
-    rest = maybe_among(docs.filter(F.col(doc_id).isNotNull()), touched, doc_id).withColumn("__id", F.col(doc_id).cast("long")).join(gone.withColumnRenamed("id", "__id"), "__id", "left_anti")
-    return free.select(docs.columns).union(rest.dropDuplicates(["__id"]).select(docs.columns))
+    own = F.col(f"`{doc_id}`")
+    (name,) = free_names(docs.columns, "id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    free = maybe_among(docs.filter(own.isNotNull()), touched, doc_id, absent=True).union(docs.filter(own.isNull()))
+    rest = maybe_among(docs.filter(own.isNotNull()), touched, doc_id).withColumn(name, own.cast("long")).join(gone.withColumnRenamed("id", name), name, "left_anti")
+    return free.select(columns).union(rest.dropDuplicates([name]).select(columns))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -119,6 +119,56 @@ def test_near_dedup_finds_pairs_in_a_large_group_that_shares_a_passage(spark, mo
     assert sum(r.component_id == r.doc_id // 2 * 2 for r in got) == len(rows)
 
 
+def templated(n, shared, own, pool=None, seed=0):
+    """Texts of one template of `shared` words and `own` words each, of its own or from a pool; every 50th has a near copy."""
+    rng = np.random.RandomState(seed)
+    rows = []
+    for i in range(n):
+        w = [f"t{j}" for j in range(shared)] + ([f"o{i}_{j}" for j in range(own)] if pool is None else [f"p{x}" for x in rng.randint(0, pool, own)])
+        rows.append((i, " ".join(w), None, None))
+        if i % 50 == 0:
+            rows.append((n + i, " ".join([*w, "more"]), None, None))
+    return rows
+
+
+@pytest.mark.parametrize("pool", [None, 40])
+def test_near_dedup_prefix_filter_equals_brute_force(spark, monkeypatch, pool):
+    monkeypatch.setattr(near_dedup, "BLOCK", 2000)
+    monkeypatch.setattr(near_dedup, "DIRECT", 0)
+    monkeypatch.setattr(near_dedup, "LIGHT", 4)
+    monkeypatch.setattr(near_dedup, "FEW", 3)
+    monkeypatch.setattr(near_dedup, "CROWD", 8)
+    rows = templated(160, 70, 12, pool) + [(1000 + i, t, None, None) for i, (_, t, _, _) in enumerate(templated(40, 60, 9, pool, 1))]
+    got = {r.doc_id: r.component_id for r in near_dedup.link_components(cases.frame(spark, rows), k=3, percent=85).collect()}
+    assert got == cases.components(rows, 3, 85)
+
+
+def test_near_dedup_of_one_template_stays_linear(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 20_000)
+    seen = []
+    compare = near_dedup._compare
+
+    def spied(blocks, k, percent):
+        seen.append(blocks.groupBy("block").count().agg(F.max("count"), F.sum("count")).first())
+        return compare(blocks, k, percent)
+
+    monkeypatch.setattr(near_dedup, "_compare", spied)
+    rows = templated(5000, 82, 18)  # 80 of 120 shingles are in both of a pair
+    got = {r.doc_id: r.component_id for r in near_dedup.link_components(cases.frame(spark, rows), k=3, percent=80).collect()}
+    assert got == {d: d % 5000 for d, *_ in rows}
+    assert max(most or 0 for most, _ in seen) <= 2.5 * 20_000 / 100
+    assert sum(total or 0 for _, total in seen) <= 1.5 * len(rows)
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    docs = cases.frame(spark).select("*", *[F.lit(i).alias(c) for i, c in enumerate(("bucket", "bucket_", "__bucket", "__id", "a.b"))])
+    got = near_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r)[-5:] for r in got.collect()} == {(0, 1, 2, 3, 4)}
+    with pytest.raises(ValueError):
+        near_dedup.link_components(docs.withColumn("n_shingles", F.col("doc_id")), "n_shingles")
+
+
 def test_keep_one_keeps_one_of_each(spark):
     docs = cases.frame(spark)
     got = near_dedup.keep_one(docs)
