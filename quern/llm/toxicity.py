@@ -4,7 +4,7 @@ Linear models over hashed words and word beginnings predict one category after t
 other; each later model also sees the log-odds of the earlier categories. For its
 training these come from models that were fitted without the row (out of fold), for new
 texts from the models fitted on all rows. The models learn from at most `MAX_TRAIN`
-labelled documents, chosen by a hash of their ids; the threshold of the last category is
+labelled documents, chosen, like the folds, by a hash of their ids; the threshold of the last category is
 the one with the best F1 over its out-of-fold predictions.
 
 Cases: null and empty texts have no words and are scored by the bias alone; rows without
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textcore as T
+from quern.llm.lineage import refuse_clash
 
 #: Labelled documents that are learnt from: the bound of what reaches the driver.
 MAX_TRAIN = 4000
@@ -164,7 +165,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
     """A chain of the categories, SQL conditions on the labels by name, from a bounded sample of the labelled documents."""
     chain = Chain(list(categories))
     chosen = labels.select(F.col(doc_id).alias("id"), *[F.expr(c).cast("int").alias(f"c{i}") for i, c in enumerate(categories.values())]).na.drop().groupBy("id").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(len(categories))]).orderBy(F.xxhash64("id"), "id").limit(most)
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).filter("id IS NOT NULL").join(F.broadcast(chosen), "id").select("id", "text", F.array(*[f"c{i}" for i in range(len(categories))]).alias("y"))
+    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).filter("id IS NOT NULL").join(F.broadcast(chosen), "id").select("id", "text", F.array(*[f"c{i}" for i in range(len(categories))]).alias("y"), F.pmod(F.xxhash64("id", F.lit(11)), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,24 +176,20 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
                 x = [index[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 v = [value[a:b].astype(np.float32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x, pa.binary()), pa.array(v, pa.binary())], names=["id", "y", "x", "v"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(x, pa.binary()), pa.array(v, pa.binary())], names=["id", "y", "fold", "x", "v"])
 
-    rows = sorted(sample.mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, y array<int>, x binary, v binary").collect(), key=lambda r: (r["id"], bytes(r["x"])))
+    rows = sorted(sample.mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, y array<int>, fold int, x binary, v binary").collect(), key=lambda r: (r["id"], bytes(r["x"])))
     if rows:
         size = np.array([len(r["x"]) // 4 for r in rows])
         x = Rows(np.concatenate([[0], np.cumsum(size)]), np.concatenate([np.frombuffer(r["x"], np.int32) for r in rows]).astype(np.int64), np.concatenate([np.frombuffer(r["v"], np.float32) for r in rows]).astype(np.float64), DIMS)
-        fold = np.array([hash_fold(r["id"]) for r in rows])
-        chain.train(x, np.array([r["y"] for r in rows]), fold)
+        # Folds are dealt by a hash of the id, so copies of an id stay together.
+        chain.train(x, np.array([r["y"] for r in rows]), np.array([r["fold"] for r in rows]))
     return chain
 
 
-def hash_fold(doc_id) -> int:
-    """The fold of a document: copies of an id stay together."""
-    return int(T.mix(np.array([hash(doc_id) & (2**63 - 1)], np.uint64))[0] % np.uint64(FOLDS))
-
-
 def predict(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, p_<category> .., toxic): probabilities, and whether the last reaches the threshold."""
+    refuse_clash(doc_id, ["toxic", *(f"p_{c}" for c in chain.categories)])
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     src = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     names = [f"p_{c}" for c in chain.categories]
