@@ -25,7 +25,8 @@ one template are, a prefix filter comes first: with a set's shingles in order of
 frequency in the group, two sets that link share one of their first n - least overlap + 1.
 Shingles of one class alone open most prefixes, so classes that can link with nothing drop
 out; a shared shingle of at most LIGHT classes names its pairs, which are compared one by
-one, and classes whose prefixes reach more frequent shingles meet in tiles, as above. Pairs
+one, and classes whose prefixes reach more frequent shingles meet in tiles, as above. Tiles
+are made of classes whose sizes allow a link. Pairs
 inside a component are never written out: a block returns a spanning forest.
 
 Cases: null and word-free texts have the empty set and link with nothing; a null id
@@ -36,6 +37,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +67,8 @@ HUBS = 8
 DIRECT = 2
 #: A shingle in more classes of a group than this names no pairs: the classes meet in tiles.
 LIGHT = 64
+#: Ratio of the sizes in a cell of classes that are dealt together.
+CELL = 1.05
 #: Candidates that are compared with one class in a task.
 FEW = 256
 #: Classes in a tree node above which its rows are dealt over SALTS tasks.
@@ -367,15 +371,24 @@ def light_pairs(heads: DataFrame, percent: int) -> DataFrame:
     return x.join(y, ["component", "token"]).filter((F.col("x") != F.col("y")) & (~F.col("rest") | (F.col("x") < F.col("y"))) & reach).select("x", "y").distinct()
 
 
-def _tiles(members: DataFrame) -> DataFrame:
-    """(block, visit, id, text, late): every class of `rest` meets every class of its group, in tiles of two blocks."""
-    weight = members.groupBy("component").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("out"))
-    dealt = members.join(weight, "component").withColumn("rows", F.ceil(F.col("out") / BLOCK).cast("int")).withColumn("cols", F.ceil(F.col("all") / BLOCK).cast("int")).filter("rows > 0")
+def _tiles(members: DataFrame, percent: int) -> DataFrame:
+    """(block, visit, id, text, late): every class of `rest` meets the classes of its group whose size allows a link, in tiles of two blocks.
+
+    The first `late` shingles of a class are known to be in none of the others, which
+    narrows the sizes that a partner may have. Sizes are dealt in cells of CELL ratio; a
+    cell that nothing visits is not sent.
+    """
+    n, cell = F.col("n"), lambda size: F.floor(F.log(size.cast("double")) / math.log(CELL)).cast("int")
+    least, most = F.ceil(n * percent / 100), F.least(F.floor(n * 100 / percent), F.floor((100 + percent) * (n - F.col("late")) / percent) - n)
+    home = members.withColumn("cell", cell(n))
+    visit = members.filter("rest").withColumn("least", least).withColumn("most", most).filter("most >= least").withColumn("cell", F.explode(F.sequence(cell(F.col("least")), cell(F.col("most")))))
+    blocks = lambda rows, name: rows.groupBy("component", "cell").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias(name))
+    plan = stored(blocks(visit, "rows").join(blocks(home, "cols"), ["component", "cell"]))
     own = lambda parts: F.pmod(F.xxhash64("id", F.lit(21)), F.col(parts)).cast("int")
     to = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    home = dealt.select("component", "id", "text", "late", to("rows").alias("i"), own("cols").alias("j"), F.lit(2).alias("visit"))
-    visitors = dealt.filter("rest").select("component", "id", "text", "late", own("rows").alias("i"), to("cols").alias("j"), F.lit(1).alias("visit"))
-    return home.union(visitors).select(F.xxhash64("component", F.lit(22), "i", "j").alias("block"), "visit", "id", "text", "late")
+    at_home = home.join(plan, ["component", "cell"]).select("component", "cell", "id", "text", "late", to("rows").alias("i"), own("cols").alias("j"), F.lit(2).alias("visit"))
+    visitors = visit.join(plan, ["component", "cell"]).select("component", "cell", "id", "text", "late", own("rows").alias("i"), to("cols").alias("j"), F.lit(1).alias("visit"))
+    return at_home.union(visitors).select(F.xxhash64("component", "cell", "i", "j").alias("block"), "visit", "id", "text", "late")
 
 
 def _pair_blocks(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -392,13 +405,13 @@ def _crossing_links(large: DataFrame, k: int, percent: int) -> DataFrame:
     out = large.groupBy("component").agg(F.sum(F.when(F.col("rest"), F.col("n")).otherwise(0)).alias("crossing")).filter("crossing > 0")
     large = stored(large.join(out, "component"))
     few = large.filter(F.col("crossing") <= DIRECT * BLOCK)
-    links = _compare(_tiles(few.withColumn("late", F.lit(0).cast("long"))), k, percent)
+    links = _compare(_tiles(few.withColumn("late", F.lit(0).cast("long")), percent), k, percent)
     many = large.filter(F.col("crossing") > DIRECT * BLOCK)
     if many.limit(1).count():
         heads = prefixes(many, k, percent)
         pairs = stored(light_pairs(heads, percent))
         late = heads.filter(F.col("df") > LIGHT).groupBy("id").agg(F.min("at").alias("late"))
-        links = links.union(_compare(_pair_blocks(pairs, many.select("id", "text")), k, percent)).union(_compare(_tiles(many.join(late, "id")), k, percent))
+        links = links.union(_compare(_pair_blocks(pairs, many.select("id", "text")), k, percent)).union(_compare(_tiles(many.join(late, "id"), percent), k, percent))
     return links
 
 
