@@ -13,7 +13,9 @@ The probability of a word after another is
 
 with the counts so read and L = 1 - (pairs seen once) / (pairs), the Good-Turing mass of
 seen pairs. The base score uses the exact word counts, which are sent back to the blocks
-with the levels, as arrays in the order asked.
+with the levels, as arrays in the order asked. The texts are cut into tokens once; the
+blocks are stored with their ids, so a repeated task, or an input that comes out in
+another order, cannot give a block another's replies.
 
 Cases: null and empty texts are one end token; with nothing to learn from, N and V are 0
 and the base score is 0; a null id is held out. Repeated rows are learnt from and scored
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import textcore as T
 from quern.llm.language_id import held_out
-from quern.llm.lineage import stored
+from quern.llm.lineage import refuse_clash, stored
 from quern.llm.near_dedup import _runs
 
 #: Least bits of a filter segment for each of its items.
@@ -73,39 +75,69 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return T.mix(before * _PAIR + h)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(block id, rows, token hashes, first tokens). Ids come from the scan's partition and order, equal in each pass over one scan."""
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: an id, the rows' ids and whether they are held out, the distinct token hashes, and the tokens as places in them."""
+    pack = zstandard.ZstdCompressor(level=1)
     block = TaskContext.get().partitionId() << 32
+    one = lambda x, kind: pa.array([x], kind)
     for batch in batches:
         data, off = T.text_buffers(batch.column(2))
         for lo, hi in T.slices(off, BLOCK_BYTES):
             h, first = _tokens(data, off[lo : hi + 1])
-            yield block, batch.slice(lo, hi - lo), h, first
+            u, code = np.unique(h, return_inverse=True)
+            ids, held = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [one(block, pa.int64()), one(pack.compress(code.astype(np.uint32).tobytes()), pa.binary()), one(u.tobytes(), pa.binary()), one(first.astype(np.int64).tobytes(), pa.binary()), one(ids, pa.list_(pa.int64())), one(held, pa.list_(pa.bool_()))],
+                names=["block", "data", "level", "first", "ids", "held"],
+            )
             block += 1
 
 
-def _send(rbits: int):
+def spread(n: int) -> np.ndarray:
+    """n integers that Spark's hash partitioning deals one to each of n partitions (32-bit Murmur3 with seed 42)."""
+    out = np.full(n, -1, np.int64)
+    for lo in range(0, 1 << 31, 16 * n):
+        key = np.arange(lo, lo + 16 * n, dtype=np.uint32)
+        turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+        h = turn(np.uint32(42) ^ turn(key * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        part = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+        new, at = np.unique(part, return_index=True)
+        fresh = out[new] < 0
+        out[new[fresh]] = key[at[fresh]]
+        if (out >= 0).all():
+            return out
+    return np.maximum(out, 0)
+
+
+def _send(rbits: int, tasks: np.ndarray):
     """Per block and hash bucket the block's words and pairs with their training counts, which are 0 in held-out texts."""
     shift, buckets = np.uint64(64 - rbits), 1 << rbits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows, h, first in _blocks(batches):
-            train = np.repeat(~rows.column(1).to_numpy(zero_copy_only=False), np.diff(first))
-            out: list[tuple[int, int, int, bytes, bytes, bytes]] = []
-            u, code = np.unique(h, return_inverse=True)
-            count = np.bincount(code[train], minlength=len(u)).astype(np.uint32)
-            pair, where = np.unique(_pairs(h), return_inverse=True)
-            many = np.bincount(where[train], minlength=len(pair)).astype(np.uint32)
-            for kind, keys, n in ((UNI, u, count), (BI, pair, many)):
-                cut = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64))
-                rest = keys << np.uint64(rbits)
-                high, low = (rest >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(16)).astype(np.uint16)
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    s = slice(cut[b], cut[b + 1])
-                    out.append((b, kind, block, high[s].tobytes(), low[s].tobytes() if kind == UNI else b"", n[s].tobytes()))
-            for i in range(0, len(out), 64):
-                cols = list(zip(*out[i : i + 64], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[3:])], names=["bucket", "kind", "block", "high", "low", "n"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, data, level, first, held = (batch.column(c)[i].as_py() for c in ("block", "data", "level", "first", "held"))
+                code = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
+                u = np.frombuffer(level, np.uint64)
+                train = np.repeat(~np.array(held, bool), np.diff(np.frombuffer(first, np.int64)))
+                out: list[tuple[int, int, int, int, bytes, bytes, bytes]] = []
+                count = np.bincount(code[train], minlength=len(u)).astype(np.uint32)
+                pair, where = np.unique(_pairs(u[code]), return_inverse=True)
+                many = np.bincount(where[train], minlength=len(pair)).astype(np.uint32)
+                for kind, keys, n in ((UNI, u, count), (BI, pair, many)):
+                    cut = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64))
+                    rest = keys << np.uint64(rbits)
+                    high, low = (rest >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(16)).astype(np.uint16)
+                    for b in np.flatnonzero(np.diff(cut)).tolist():
+                        s = slice(cut[b], cut[b + 1])
+                        out.append((int(tasks[b]), b, kind, block, high[s].tobytes(), low[s].tobytes() if kind == UNI else b"", n[s].tobytes()))
+                for j in range(0, len(out), 64):
+                    cols = list(zip(*out[j : j + 64], strict=True))
+                    kinds = [pa.int32()] * 3 + [pa.int64()] + [pa.binary()] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["task", "bucket", "kind", "block", "high", "low", "n"])
 
     return run
 
@@ -180,8 +212,8 @@ def _count():
         return np.frombuffer(b"".join(rows[name][i] for i in which), kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches):
-            bucket = batch.column(0).to_numpy()
+        for batch in _runs(batches, 1):
+            bucket = batch.column(1).to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 rows = batch.slice(lo, hi - lo).to_pydict()
@@ -213,18 +245,6 @@ def _count():
     return run
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block of documents its distinct token hashes, in the order in which their counts were asked for, and its tokens as places in them."""
-    pack = zstandard.ZstdCompressor(level=1)
-    for block, rows, h, first in _blocks(batches):
-        u, code = np.unique(h, return_inverse=True)
-        one = lambda x, kind: pa.array([x], kind)
-        yield pa.RecordBatch.from_arrays(
-            [one(block, pa.int64()), one(-1, pa.int32()), one(-1, pa.int32()), one(pack.compress(code.astype(np.uint32).tobytes()), pa.binary()), one(u.tobytes(), pa.binary()), one(first.astype(np.int64).tobytes(), pa.binary()), one(rows.column(0).to_pylist(), pa.list_(pa.int64())), one(rows.column(1).to_pylist(), pa.list_(pa.bool_()))],
-            names=["block", "bucket", "kind", "data", "level", "first", "ids", "held"],
-        )
-
-
 def _log_probabilities(u: np.ndarray, code: np.ndarray, words: np.ndarray, pairs: np.ndarray, mass: float, n: int, v: int) -> np.ndarray:
     """log10 probability of each token of a block, whose distinct hashes are u[code], by the counts read of its distinct words and pairs."""
     c = words[code]
@@ -262,20 +282,22 @@ def _scores(n: int, v: int, mass: float):
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held=None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), learning from the rows that are not held out."""
     spark = docs.sparkSession
+    refuse_clash(doc_id, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     held = held_out(doc_id, 7, 2) if held is None else held
     src = docs.select(F.col(doc_id).cast("long").alias("id"), held.alias("held"), F.col(text).cast("string").alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rbits = max(4, int(size // BUCKET_BYTES).bit_length())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << rbits)
-    sent = src.mapInArrow(_send(rbits), "bucket int, kind int, block long, high binary, low binary, n binary")
-    counted = stored(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(), "kind int, bucket int, block long, data binary, level binary, n long, v long, once long, pairs long"))
+    blocks = stored(src.mapInArrow(_tokenise, "block long, data binary, level binary, first binary, ids array<long>, held array<boolean>"))
+    sent = blocks.select("block", "data", "level", "first", "held").mapInArrow(_send(rbits, spread(parts)), "task int, bucket int, kind int, block long, high binary, low binary, n binary")
+    counted = stored(sent.repartition(parts, "task").sortWithinPartitions("bucket").mapInArrow(_count(), "kind int, bucket int, block long, data binary, level binary, n long, v long, once long, pairs long"))
     n, v, once, pairs = (x or 0 for x in counted.filter(F.col("kind") == TOTAL).agg(*[F.sum(c) for c in ("n", "v", "once", "pairs")]).first())
     mass = 1 - once / pairs if pairs else 0.0
     names = ["block", "bucket", "kind", "data", "level", "first", "ids", "held"]
-    asked = src.mapInArrow(_ask, "block long, bucket int, kind int, data binary, level binary, first binary, ids array<long>, held array<boolean>")
+    asked = blocks.select("block", F.lit(-1).alias("bucket"), F.lit(-1).alias("kind"), *names[3:])
     replies = counted.filter(F.col("kind") != TOTAL).select("block", "bucket", "kind", "data", "level", F.lit(None).cast("binary").alias("first"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held"))
     both = asked.select(*names).union(replies.select(*names)).repartition(parts, "block").sortWithinPartitions("block", "bucket")
-    return both.mapInArrow(_scores(n, v, mass), f"{doc_id} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.mapInArrow(_scores(n, v, mass), f"`{doc_id}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_lm_score(spark, sf_dir: str) -> DataFrame:
