@@ -7,13 +7,15 @@ document's fingerprints are looked up among the benchmark's, and a hit is extend
 the windows around it, which are compared whole. An item shorter than a window is looked
 up as it is.
 
-The benchmark is handled in blocks of at most `BLOCK_BYTES` of text, each of which is
-broadcast as sorted hashes; a larger benchmark takes more passes over the documents, whose
-results are merged per document.
+The benchmark is handled in blocks of at most `BLOCK_BYTES` of text (an item above that is
+a block alone), each of which is broadcast as sorted hashes; a larger benchmark takes more
+passes over the documents, whose results are stored and merged per document. One block is
+held at a time: its broadcast ends before the next one is read.
 
 Cases: null and word-free texts have no words and no hits; items without an id or words
 match nothing; copies of an item count by their ids; repeated documents come out once
-each; an empty benchmark hits nothing. Other columns are ignored.
+each; an empty benchmark hits nothing. Other columns are ignored, or kept by
+`clean_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textcore as T
+from quern.llm.lineage import free_names, refuse_clash, stored
 
 WINDOW = 8
 GRAM = 4
@@ -128,11 +132,11 @@ def _hits(words: T.Words, index: Index) -> tuple[np.ndarray, list[tuple[int, int
 _SCHEMA = "n_words long, n_hit long, hits array<struct<first:long,last:long>>, items array<string>"
 
 
-def _pass(docs: DataFrame, keep: list[str], text: str, index: Index, clean_only: bool = False) -> DataFrame:
+def _pass(docs: DataFrame, keep: list[str], text: str, shared: Broadcast, clean_only: bool = False) -> DataFrame:
     """The columns `keep` with n_words, n_hit, hit word ranges [first, last) and items; or of the rows without a hit those columns alone."""
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    (whole,) = free_names(keep, "text")
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(whole))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[: len(keep)])
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,39 +166,60 @@ def _pass(docs: DataFrame, keep: list[str], text: str, index: Index, clean_only:
     return src.mapInArrow(run, schema if clean_only else f"{schema}, {_SCHEMA}")
 
 
-def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """Indexes of the items, one per block; at least one. An item above the bound makes a block alone."""
+def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[DataFrame]:
+    """(i, t) of the items, by block; at least one. Hash buckets of the items are put together up to the bound."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        yield Index([tuple(r) for r in part.collect()])
+    size = F.sum(F.octet_length("t") + 16)
+    total = rows.agg(size).first()[0] or 0
+    if total <= block_bytes:
+        yield rows
+        return
+    buckets = 32 * -(-total // block_bytes)
+    bucket = F.pmod(F.xxhash64("i", "t"), F.lit(buckets))
+    lo, held = 0, 0
+    for r in rows.groupBy(bucket.alias("b")).agg(size.alias("s")).orderBy("b").collect():
+        if held and held + r["s"] > block_bytes:
+            yield rows.filter((bucket >= lo) & (bucket < r["b"]))
+            lo, held = r["b"], 0
+        held += r["s"]
+    yield rows.filter(bucket >= lo)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, hits, items): hit word ranges and the sorted ids of the items with windows in the document."""
-    passes = [_pass(docs, [doc_id], text, x) for x in indexes(benchmark, item_id, item_text, block_bytes)]
-    if len(passes) == 1:
-        return passes[0]
-    numbered = docs.select(F.struct(F.col(doc_id), F.xxhash64(text), F.monotonically_increasing_id()).alias("__row"), F.col(text).alias("__t"))
-    parts = [_pass(numbered, ["__row"], "__t", x) for x in indexes(benchmark, item_id, item_text, block_bytes)]
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.union(x)
+    refuse_clash(doc_id, ["n_words", "n_hit", "hits", "items"])
+    share = docs.sparkSession.sparkContext.broadcast
+    blocks = list(item_blocks(benchmark, item_id, item_text, block_bytes))
+    if len(blocks) == 1:
+        return _pass(docs, [doc_id], text, share(Index([tuple(r) for r in blocks[0].collect()])))
+    # Rows are numbered once, in storage, so that all passes mean the same row by a number.
+    numbered = stored(docs.select(F.struct(F.col(f"`{doc_id}`").alias("id"), F.monotonically_increasing_id().alias("n")).alias("row"), F.col(f"`{text}`").alias("t")))
+    every = None
+    for items in blocks:
+        shared = share(Index([tuple(r) for r in items.collect()]))
+        part = _pass(numbered, ["row"], "t", shared)
+        part = stored(part if every is None else part.filter("n_hit > 0"))
+        shared.destroy()
+        every = part if every is None else every.union(part)
     ranges = F.array_sort(F.flatten(F.collect_list("hits")))
-    one = every.groupBy("__row").agg(F.max("n_words").alias("n_words"), ranges.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    one = every.groupBy("row").agg(F.max("n_words").alias("n_words"), ranges.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = F.expr("""aggregate(hits, cast(array() as array<struct<first:bigint,last:bigint>>), (m, x) -> CASE
         WHEN size(m) = 0 OR x.first > element_at(m, -1).last THEN concat(m, array(x))
         ELSE concat(slice(m, 1, size(m) - 1), array(named_struct('first', element_at(m, -1).first, 'last', greatest(element_at(m, -1).last, x.last)))) END)""")
     one = one.withColumn("hits", merged)
-    return one.select(F.col("__row")[doc_id].alias(doc_id), "n_words", F.expr("aggregate(hits, 0L, (s, x) -> s + x.last - x.first)").alias("n_hit"), "hits", "items")
+    return one.select(F.col("row.id").alias(doc_id), "n_words", F.expr("aggregate(hits, 0L, (s, x) -> s + x.last - x.first)").alias("n_hit"), "hits", "items")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all their columns, that no window of the benchmark occurs in."""
-    for index in indexes(benchmark, block_bytes=block_bytes):
-        docs = _pass(docs, docs.columns, text, index, clean_only=True)
+    blocks = list(item_blocks(benchmark, block_bytes=block_bytes))
+    last = None
+    for n, items in enumerate(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()]))
+        docs = _pass(docs, docs.columns, text, shared, clean_only=True)
+        if n + 1 < len(blocks):
+            docs = last = stored(docs, instead_of=last)
+            shared.destroy()
     return docs
 
 
