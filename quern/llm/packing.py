@@ -10,11 +10,13 @@ several, in proportion, so that it can fill its share of every bin.
 
 A text longer than a bin is cut: its whole bins are full at once, and the rest is packed.
 Documents are dealt by hash over shards of about `SHARD` rows, which are packed apart, so
-the work and memory of a task are bounded whatever the sources and clusters.
+the work and memory of a task are bounded whatever the sources and clusters; the tightest
+bin is the tightest of its shard. Repeated rows are dealt over the shards one by one.
 
-Cases: null and empty texts are one end token; a null source conflicts with none; copies
-of a text, with letter case and spacing ignored, are one cluster, null and empty texts
-none. Every row, repeated or not, is placed once. Other columns are ignored.
+Cases: null and empty texts are one end token; a null source conflicts with none. The
+clusters are those of a given column, in which null is no cluster; without one, copies of
+a text, with letter case and spacing ignored, are a cluster, and null and empty texts are
+in none. Every row, repeated or not, is placed once. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textcore as T
+from quern.llm.lineage import refuse_clash, stored
 from quern.llm.near_dedup import _runs
 
 #: Tokens in a bin. A document has a token per word and one for its end.
@@ -38,8 +41,8 @@ SHARD = 4096
 SLACK = 2.0
 
 
-def measure(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """(id, source, n_tokens, cluster): cluster is a hash of the word sequence, null without words."""
+def measure(docs: DataFrame, doc_id: str, text: str, source: str, cluster: str | None = None) -> DataFrame:
+    """(id, source, n_tokens, cluster): cluster is the given column, or a hash of the word sequence, null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,11 +52,11 @@ def measure(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
                 n = np.diff(w.first)
                 place = np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.first[:-1], n).astype(np.uint64)
                 mixed = np.append(T.mix(w.hash + place * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0))
-                cluster = T.mix(np.add.reduceat(mixed, w.first[:-1]) + n.astype(np.uint64)).view(np.int64)
+                copies = T.mix(np.add.reduceat(mixed, w.first[:-1]) + n.astype(np.uint64)).view(np.int64)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n + 1), pa.array(cluster, mask=n == 0)], names=["id", "source", "n_tokens", "cluster"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n + 1), part.column(3) if cluster else pa.array(copies, mask=n == 0)], names=["id", "source", "n_tokens", "cluster"])
 
-    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
+    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"), *([F.when(F.col(cluster).isNotNull(), F.xxhash64(cluster)).alias("cluster")] if cluster else []))
     return src.mapInArrow(run, "id long, source string, n_tokens long, cluster long")
 
 
@@ -139,11 +142,13 @@ def _pack_shards(capacity: int, slots: dict[str, int]):
     return run
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, shard: int = SHARD, cluster: str | None = None) -> DataFrame:
     """(doc_id, first_token, n_tokens, bin_id, bin_offset) of every piece of every document."""
+    refuse_clash(doc_id, ["first_token", "n_tokens", "bin_id", "bin_offset"])
     spark = docs.sparkSession
-    sized = measure(docs, doc_id, text, source)
-    share = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
+    columns = ["id", "source", "n_tokens", "cluster"]
+    sized = stored(measure(docs, doc_id, text, source, cluster).groupBy(columns).agg(F.count("*").alias("copies")))
+    share = sized.groupBy("source").agg(F.sum("copies").alias("n"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
     total = share.agg(F.sum("n"), F.sum("tokens")).first()
     rows, tokens = total[0] or 0, total[1] or 0
     per_bin = capacity * rows / tokens if tokens else 1.0
@@ -152,7 +157,8 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     slots = {r["source"]: max(1, int(-(-r["n"] * SLACK * per_bin // rows))) for r in hot}
     shards = max(1, -(-rows // shard))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = sized.select(F.pmod(F.xxhash64("id", "cluster", "n_tokens"), F.lit(shards)).alias("shard"), "id", "source", "n_tokens", "cluster")
+    each = sized.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    dealt = each.select(F.pmod(F.xxhash64("id", "cluster", "n_tokens", "copy"), F.lit(shards)).alias("shard"), *columns)
     packed = dealt.repartition(max(parts, min(shards, 4 * parts)), "shard").sortWithinPartitions("shard").mapInArrow(_pack_shards(capacity, slots), "id long, first_token long, n_tokens long, bin_id long, bin_offset long")
     return packed.withColumnRenamed("id", doc_id)
 
