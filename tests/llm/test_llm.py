@@ -363,6 +363,65 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert texts[10][0] == rows[4][1]
 
 
+def brute_terms(rows):
+    """id -> words that disclose an entity (e-mail addresses alone here) the document holds, by the formula over whole documents."""
+    import re
+
+    docs = [(d, t or "", [(m.start(), m.end(), m[0].lower()) for m in cases._EMAIL.finditer(t or "")]) for d, t, *_ in rows]
+    words = {}
+    for d, t, e in docs:
+        w = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{4,}", t)]
+        words[d, t] = [x for x in w if not any(a <= x[0] < b for a, b, _ in e)]
+    near = {}
+    for d, t, e in docs:
+        for a, b, x in e:
+            before, after = [w for w in words[d, t] if w[1] <= a][-pii.REACH :], [w for w in words[d, t] if w[0] >= b][: pii.REACH]
+            for w in before + after:
+                near.setdefault((x, w[2]), set()).add(t)
+    n = len(docs)
+    found = set()
+    for (x, w), texts in near.items():
+        if len(texts) >= pii.SUPPORT:
+            n_x = sum(any(y == x for *_, y in e) for _, _, e in docs)
+            n_w = sum(w in {y for y in re.split(r"[\W\d_]+", t.lower())} for _, t, _ in docs)
+            n_b = sum(any(y == x for *_, y in e) and w in {y for *_, y in words[d, t]} for d, t, e in docs)
+            if n_x < n and math.log(n_b * n / (n_x * max(n_w, n_b))) / max(math.log(n / n_x), 1e-9) >= pii.LIMIT:
+                found.add((x, w))
+    return {(d, t): {w for w in words[d, t] if any((y, w[2]) in found for *_, y in e)} for d, t, e in docs}
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    rng = np.random.RandomState(2)
+    common, rare, mails = [f"word{'abcdefghij'[i]}" for i in range(10)], [f"Name{'klmnopqrst'[i]}" for i in range(10)], [f"m{i}@corp.com" for i in range(6)]
+    rows = []
+    for i in range(120):
+        w = list(rng.choice(common, 25))
+        if i % 3 == 0:
+            e = rng.randint(6)
+            at = rng.randint(25)
+            w[at] = mails[e]
+            w.insert(at + rng.randint(-2, 3), rare[e])
+            w += [rare[e], rare[(e + 1) % 6], "end"] if i % 2 else []
+        rows.append((i, " ".join(w), None, None))
+    rows += [rows[0], rows[3], (None, rows[3][1], None, None), (500, None, None, None), (501, "longword" * 3000 + " m1@corp.com Namel", None, None)]
+    want = brute_terms(rows)
+    assert sum(map(len, want.values())) > 8
+    text = {}
+    for d, t, *_ in rows:
+        text.setdefault(d, t or "")
+    got = pii.find(cases.frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert {(s.start, s.end, s.match) for s in r.term} == want[r.doc_id, text[r.doc_id]], r.doc_id
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    docs = cases.frame(spark, [(1, "write to a@b.cc", None, None), (2, "nothing", None, None), (3, None, None, None)]).select("*", *[F.lit(i).alias(c) for i, c in enumerate(("__hits", "__key", "__terms", "found", "term", "a.b"))])
+    got = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    assert {tuple(r)[-6:] for r in got.values()} == {(0, 1, 2, 3, 4, 5)} and pii.sanitise(docs).columns == docs.columns
+    assert [got[i].text for i in (1, 2, 3)] == ["write to [EMAIL]", "nothing", None]
+
+
 # Toxicity.
 
 
@@ -409,7 +468,7 @@ def windows_hit(text, items):
     return len(w), len(hit), sorted(who)
 
 
-@pytest.mark.parametrize("block", [32 << 20, 200])
+@pytest.mark.parametrize("block", [32 << 20, 400])
 def test_windows_equal_brute_force(spark, block):
     rows = [r for r in cases.awkward() if r[0] != 11]
     w = rows[0][1].split()
@@ -516,6 +575,43 @@ def test_packing_places_every_token_once(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_packing_deals_repeated_rows_and_takes_clusters(spark):
+    docs = cases.frame(spark, [(1, "a b c", "en", None)] * 300 + [(2, "d e", "en", None), (3, "f g", "en", None)])
+    got = packing.pack_documents(docs, capacity=64, shard=16).collect()
+    assert len(got) == 302 and len({r.bin_id >> 32 for r in got if r.doc_id == 1}) > 5
+    together = packing.pack_documents(docs.filter("doc_id > 1"), capacity=64).collect()
+    assert len({r.bin_id for r in together}) == 1
+    apart = packing.pack_documents(docs.filter("doc_id > 1"), capacity=64, cluster="component").collect()
+    assert len({r.bin_id for r in apart}) == 2
+
+
+def test_many_benchmark_blocks_keep_one_broadcast(spark):
+    rng = np.random.RandomState(4)
+    items = [(i, " ".join(f"w{x}" for x in rng.randint(0, 5000, 20))) for i in range(60)]
+    docs = cases.frame(spark, [(i, f"before {t} after" if i % 2 else f"clean {i} " * 30, None, None) for i, (_, t) in enumerate(items)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert 15 < len(list(decontaminate.item_blocks(bench, block_bytes=500))) < 60
+    got = {r.doc_id: sorted(r["items"]) for r in decontaminate.find_contamination(docs.repartition(5), bench, block_bytes=500).collect()}
+    assert got == {i: [str(i)] if i % 2 else [] for i in range(60)}
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench, block_bytes=500).collect()) == list(range(0, 60, 2))
+    with pytest.raises(ValueError):
+        decontaminate.find_contamination(docs, bench, doc_id="hits")
+
+
+def test_spread_keys_are_dealt_one_to_each_partition(spark):
+    n = 37
+    key = spark.createDataFrame([(int(k),) for k in language_model.spread(n)], "k int")
+    assert sorted(r[0] for r in key.select(F.pmod(F.hash("k"), F.lit(n))).collect()) == list(range(n))
+
+
+def test_lm_scores_do_not_depend_on_the_order_of_the_input(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 1 << 12)
+    docs = cases.frame(spark)
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    a, b = (sorted(((*key(r), round(r.base_score, 6), round(r.score, 4)) for r in language_model.score_documents(x).collect())) for x in (docs, docs.repartition(7, "text").sort(F.rand())))
+    assert a == b
+
+
 # The pipeline.
 
 
