@@ -494,6 +494,7 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     vec = [(base + 0.2 * rng.randn(16)).astype(np.float32).tolist() for _ in range(150)] + [rng.randn(16).astype(np.float32).tolist() for _ in range(60)]
     rows = [(i, v, i % 2 if i < 200 else None, "x") for i, v in enumerate(vec)]
     rows += [(300, None, 1, "x"), (301, [0.0] * 16, 1, "x"), (302, [float("nan")] * 16, 1, "x"), (303, [None] * 16, 1, "x"), (None, vec[0], 0, "x"), (304, [], 1, "x"), (305, vec[1], 1, "x"), (305, vec[1], 1, "x"), (306, vec[3][:8], 1, "x"), (307, [float("inf")] + [1.0] * 15, 1, "x")]
+    rows += [(400 + i, vec[2], 0, "x") for i in range(60)] + [(500 + i, vec[3], 1, "x") for i in range(5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, id string").repartition(3)
     got = embedding_dedup.link_vectors(df).collect()
     assert len(got) == len(rows)
@@ -514,14 +515,22 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
 
 
-def test_estimates_are_unbiased_and_bounded():
+@pytest.mark.parametrize("dims", [64, 100])
+def test_estimates_are_unbiased_and_bounded(dims):
     rng = np.random.RandomState(1)
-    x = rng.randn(400, 64)
+    x = rng.randn(400, dims)
+    x[200:] = x[:200] + rng.rand(200, 1) * rng.randn(200, dims)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    got, error = embedding_dedup.estimates(x[:200], *embedding_dedup.encode(x[200:]))
-    off = (got - x[:200] @ x[200:].T) / error
+    made = embedding_dedup.Codes.of(x)
+    codes = embedding_dedup.Codes.read(dims, made.columns())
+    got, error = codes.estimates(slice(0, 200))
+    off = (got - x[:200] @ x.T) / error
+    off[np.arange(200), np.arange(200)] = 0
     assert abs(off.mean()) < 0.05
     assert np.abs(off).max() < 5.5
+    pairs = {(int(a), int(b)) for i, j in codes.pairs(0.9, 5.0, np.zeros(400, int)) for a, b in zip(i, j, strict=True)}
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True) if i < j}
+    assert want <= pairs and len(pairs) < 20 * len(want)
 
 
 # Packing.
