@@ -193,6 +193,60 @@ PAGES = {
 }
 
 
+ARTICLE = "<article><h1>The title of it</h1>" + "".join(f"<p>Paragraph {i} says a number of things, at some length, about one thing or another.</p>" for i in range(4)) + "</article>"
+IN_ARTICLE = "The title of it " + " ".join(f"Paragraph {i} says a number of things, at some length, about one thing or another." for i in range(4))
+
+
+@pytest.mark.parametrize("name", ["layout", "layout has-sidebar", "page no-sidebar", "with-header", "single-post tag-side", "site header", "menu-open", "hasSidebar"])
+def test_layout_names_do_not_condemn_the_article(name):
+    for outer in (f"<div class='{name}'>", f"<form id='{name}'>"):
+        page = f"<body>{outer}<nav class='main-nav'><a href=x>Home</a></nav>{ARTICLE}<div class='widget-area'><p>Other things to read, to the side of it.</p></div></div>"
+        assert html_extract.extract(page + "<ol class='comment-list'><li><article><p>A reader says that this is a very long comment indeed.</p></article></li></ol>") == IN_ARTICLE
+    assert html_extract.extract(ARTICLE.replace("says", "says <span class='advert'>Buy <span>now</span> cheap.</span>", 1)) == IN_ARTICLE
+
+
+def generated_page(rng):
+    """A page of parts whose text is known to be content or not, and its content."""
+    say = lambda n: " ".join(f"{'abcdefghij'[x]}word{'klmno'[x % 5]}" for x in rng.randint(0, 10, n))
+    bad = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/{i}>{say(2)}</a>' for i in range(rng.randint(2, 6)))}</ul></nav>",
+        lambda: f"<div class={rng.choice(['ad', 'ad-slot', 'topAdvert', 'cookie-notice', 'newsletter', 'related-posts', 'share'])}><p>{say(12)}.</p></div>",
+        lambda: f"<aside><h3>{say(3)}</h3><p>{say(20)}.</p></aside>",
+        lambda: f"<form action='>'><label>{say(3)}</label><p>{say(6)}</p></form>",
+        lambda: f"<script>if (a < b) '</p><p>{say(8)}</p>'</script><!-- <p>{say(5)}</p> --><style>p > a {{}}</style>",
+        lambda: f"<section id='comments'><article class='comment'><p>{say(25)}.</p></article></section>",
+    ]
+    said, parts = [], []
+    for _ in range(rng.randint(2, 7)):
+        t = say(rng.randint(8, 60)) + "."
+        said.append(t)
+        parts.append(rng.choice(["<p>{}</p>", "<p>{}", "<blockquote><p>{}</p></blockquote>", "<p class='text'>{}</p>"]).format(t.replace(" ", rng.choice([" ", "\n  ", " <b></b>", "&#32;"]), 1)))
+    order = [f"<article>{''.join(parts)}</article>"] + [rng.choice(bad)() for _ in range(rng.randint(1, 5))]
+    rng.shuffle(order)
+    return f"<html><head><title>{say(4)}</title></head><body>{rng.choice(['', '<div class=has-sidebar>', '<div id=page>'])}{''.join(order)}<footer>&copy; {say(5)}</footer>", " ".join(said)
+
+
+def test_generated_pages_give_their_content():
+    rng = np.random.RandomState(7)
+    for _ in range(300):
+        page, want = generated_page(rng)
+        assert html_extract.extract(page) == want, page
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<a '", "<a \">\" ", "<", "<!-", "<p><b ", "</", "&#", "<div class='", "<!--", "<script>", "<div>", "<div>x", "<span class=ad>x", "<p>x</p></i></q></b></x>"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    began = time.time()
+    html_extract.extract(piece * 50_000 + "</x>" * 50_000)
+    assert time.time() - began < 5
+
+
+def test_kept_columns_of_a_page_with_the_names_of_outputs(spark):
+    pages = spark.createDataFrame([(1, "<p>One two three.</p>", "t", 5)], "page_id long, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_extract.extract_text(pages, keep=("page_id", "text", "html")).collect()] == [(1, "<p>One two three.</p>", "One two three.", 14)]
+
+
 @pytest.mark.parametrize("page", list(PAGES))
 def test_page_text(page):
     assert html_extract.extract(page) == PAGES[page]
@@ -216,7 +270,7 @@ def test_minimum_cut_equals_enumeration():
     for _ in range(50):
         n = rng.randint(2, 8)
         odds = rng.randn(n).round(3).tolist()
-        ties = [(i, i + 1, round(rng.rand(), 3)) for i in range(n - 1)]
+        ties = [(i, i + 1, round(rng.rand(), 3)) for i in range(n - 1)] + [(i, j, round(rng.rand(), 3)) for i in range(n) for j in range(i + 2, n) if rng.rand() < 0.3]
         cost = lambda lab: sum(abs(x) for x, k in zip(odds, lab, strict=True) if k != (x > 0)) + sum(c for a, b, c in ties if lab[a] != lab[b])  # noqa: E731, B023
         best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
         assert cost(html_extract.min_cut(odds, ties)) == pytest.approx(best)
