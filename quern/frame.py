@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import dates, elementwise, strings
-from quern.operators import combine, convert, expressions, grouping, joins, missing, order, reshape, stats, udf, windows
+from quern.operators import aligned, arrays, combine, convert, expressions, grouping, joins, missing, order, reshape, stats, udf, windows
 from quern.operators.grouping import REDUCE
 from quern.sources import readers, writers
 
@@ -274,6 +274,93 @@ class Frame:
 
         return fit(self), fit(other)
 
+    def reindex_like(self, other: Frame) -> Frame:
+        """The rows of the other frame's labels, in its order, and its columns."""
+        there = other.ordered()
+        rows = there.sdf.select(*there.index, F.col(there.order).alias(_ORDER)).join(self.sdf.drop(_ORDER), there.index, "left")
+        return Frame(rows.select(*there.index, *[F.col(f"`{c}`") if c in self.columns else F.lit(None).alias(c) for c in other.columns if c != there.order], _ORDER), there.index, _ORDER)
+
+    def combine_first(self, other: Frame) -> Frame:
+        """The values of this frame, and of the other where they are missing."""
+        return Frame(aligned.combine_first(self._values(), other._values(), self.index), self.index)
+
+    def corrwith(self, other: Frame) -> Frame:
+        return Frame(aligned.corrwith(self._values(), other._values(), self.index))
+
+    def _values(self) -> DataFrame:
+        return self.sdf.select([c for c in self.sdf.columns if c != _ORDER])
+
+    def _binary(self, function, other, fill_value=None, reflected: bool = False) -> Frame:
+        """With a frame, aligned on the index; with a mapping, column by column; with a series of this frame or a value, every column."""
+        turned = (lambda a, b: function(b, a)) if reflected else function
+        if isinstance(other, Frame):
+            return Frame(aligned.combined(self._values(), other._values(), self.index, turned, fill_value), self.index)
+        names = [c for c in self.columns if c != self.order]
+        if isinstance(other, dict):
+            return self._of(self.sdf.withColumns({c: turned(F.col(f"`{c}`"), F.lit(other[c])) if c in other else F.lit(None) for c in names}))
+        value = other.column if isinstance(other, Series) else F.lit(other)
+        if fill_value is not None:
+            return self._of(self.sdf.withColumns({c: turned(F.coalesce(F.col(f"`{c}`"), F.lit(fill_value)), value) for c in names}))
+        return self._of(self.sdf.withColumns({c: turned(F.col(f"`{c}`"), value) for c in names}))
+
+    def apply_columns(self, function, columns=None) -> Frame:
+        """A function of each numeric column."""
+        return self._of(self.sdf.withColumns({c: function(F.col(f"`{c}`")) for c in _list(columns) or [c for c in self.select_dtypes("number").columns if c not in (*self.index, self.order)]}))
+
+    def clip(self, lower=None, upper=None, columns=None) -> Frame:
+        def held(c: Column) -> Column:
+            c = c if lower is None else F.when(c < lower, F.lit(lower)).otherwise(c)
+            return c if upper is None else F.when(c > upper, F.lit(upper)).otherwise(c)
+
+        return self.apply_columns(held, columns)
+
+    def abs(self, columns=None) -> Frame:
+        return self.apply_columns(F.abs, columns)
+
+    def round(self, decimals: int = 0, columns=None) -> Frame:
+        return self.apply_columns(lambda c: elementwise.rint(c * 10**decimals) / 10**decimals, columns)
+
+    def rank(self, columns=None, method: str = "average", pct: bool = False) -> Frame:
+        """Ranks over all rows, by counts of the distinct values; missing ones have none."""
+        out = self.sdf
+        for c in _list(columns) or [c for c in self.select_dtypes("number").columns if c not in (*self.index, self.order)]:
+            out = order.rank_values(out, c, method, pct)
+        return self._of(out)
+
+    def xs(self, key, level: str | None = None) -> Frame:
+        """The rows of a label, without that index column."""
+        name = level or self.index[0]
+        return Frame(self.sdf.filter(F.col(f"`{name}`") == key).drop(name), [i for i in self.index if i != name], self.order)
+
+    def truncate(self, before=None, after=None) -> Frame:
+        """The rows whose first index label is within the bounds."""
+        out, c = self.sdf, F.col(f"`{self.index[0]}`")
+        out = out if before is None else out.filter(c >= before)
+        return self._of(out if after is None else out.filter(c <= after))
+
+    def unstack(self, labels: list, level: str | None = None) -> Frame:
+        """An index column's given labels as columns, `value_label` for each value."""
+        name = level or self.index[-1]
+        rest, values = [i for i in self.index if i != name], [c for c in self.columns if c != self.order]
+        cells = [F.max(F.when(F.col(f"`{name}`") == x, F.col(f"`{v}`"))).alias(f"{v}_{x}") for v in values for x in labels]
+        return Frame(self.sdf.groupBy(*rest).agg(*cells), rest)
+
+    def rename_axis(self, names) -> Frame:
+        """New names of the index columns: a list, or a mapping of some."""
+        names = names if isinstance(names, dict) else dict(zip(self.index, _list(names), strict=True))
+        return Frame(self.sdf.withColumnsRenamed(names), [names.get(i, i) for i in self.index], self.order)
+
+    def index_frame(self) -> Index:
+        return Index(self)
+
+    def memory_usage(self) -> Frame:
+        """(column, bytes) of the values as they are held: strings by their bytes, others by the width of their type."""
+        width = {"boolean": 1, "byte": 1, "short": 2, "integer": 4, "float": 4, "date": 4}
+        size = lambda f: F.sum(F.octet_length(f.name)) if f.dataType.typeName() == "string" else F.count("*") * width.get(f.dataType.typeName(), 8)
+        fields = [f for f in self.sdf.schema if f.name in self.columns]
+        sizes = self.sdf.agg(*[F.coalesce(size(f).cast("long"), F.lit(0)).alias(f.name) for f in fields])
+        return Frame(sizes.select(F.explode(F.map_from_arrays(F.array(*[F.lit(f.name) for f in fields]), F.array(*[F.col(f"`{f.name}`") for f in fields]))).alias("column", "bytes")))
+
     # Groups, reductions, statistics.
 
     def groupby(self, by) -> GroupBy:
@@ -292,6 +379,10 @@ class Frame:
     def corr(self, columns=None) -> Frame:
         return Frame(stats.corr_matrix(self.sdf, _list(columns) or self.select_dtypes("number").columns))
 
+    def cov(self, columns=None) -> Frame:
+        """(a, b, cov) of each two columns."""
+        return Frame(arrays.cov(self.sdf, _list(columns) or self.select_dtypes("number").columns))
+
     def quantile(self, q: float, columns=None, interpolation: str = "linear") -> Frame:
         names = _list(columns) or self.select_dtypes("number").columns
         return Frame(self.sdf.agg(*[stats.quantile(c, q, interpolation).alias(c) for c in names]))
@@ -388,8 +479,12 @@ class Frame:
 class GroupBy:
     """Groups of a frame; rows with a missing key are in none."""
 
-    def __init__(self, frame: Frame, keys: list[str]):
-        self.frame, self.by = frame.ordered(), keys
+    def __init__(self, frame: Frame, keys: list[str], selected: list[str] | None = None):
+        self.frame, self.by, self.selected = frame.ordered(), keys, selected
+
+    def __getitem__(self, columns) -> GroupBy:
+        """The groups with some columns alone to reduce."""
+        return GroupBy(self.frame, self.by, _list(columns))
 
     def _order(self) -> list[str]:
         return [self.frame.order]
@@ -398,7 +493,7 @@ class GroupBy:
         return Frame(grouping.agg(self.frame.sdf, self.by, **named), self.by)
 
     def reduce(self, how: str, columns=None) -> Frame:
-        names = _list(columns) or [c for c in self.frame.select_dtypes("number").columns if c not in self.by and c != self.frame.order]
+        names = _list(columns) or self.selected or [c for c in self.frame.select_dtypes("number").columns if c not in self.by and c != self.frame.order]
         return self.agg(**{c: (c, how) for c in names})
 
     def size(self) -> Frame:
@@ -444,6 +539,30 @@ class GroupBy:
         return Frame(grouping.apply(self.frame.sdf.drop(_ORDER), self.by, func, schema))
 
 
+class Index:
+    """The index columns of a frame."""
+
+    def __init__(self, frame: Frame):
+        self.frame, self.names = frame, list(frame.index)
+
+    def to_frame(self) -> Frame:
+        f = self.frame
+        return f._of(f.sdf.select([c for c in f.sdf.columns if c in f.index or c == f.order]))
+
+    def to_series(self, name: str = "label") -> Series:
+        """The first index column as a series with itself as the index."""
+        return Series(self.frame, F.col(f"`{self.names[0]}`"), name)
+
+    def set_names(self, names) -> Frame:
+        return self.frame.rename_axis(names)
+
+    def unique(self) -> Frame:
+        return Frame(self.frame.sdf.select(self.names).distinct(), self.names)
+
+    def isin(self, values: list) -> Series:
+        return self.to_series().isin(values)
+
+
 class _Methods:
     """Functions of a module as methods of a series."""
 
@@ -546,20 +665,29 @@ def _reflected(name: str, function):
     setattr(Series, name, lambda self, other: self._with(function(F.lit(other), self.column)))
 
 
-_OPERATORS = {
-    "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "truediv": elementwise.divide,
-    "floordiv": elementwise.floor_divide, "mod": elementwise.mod, "pow": elementwise.power,
-}
-for _name, _f in _OPERATORS.items():
+def _of_frames(name: str, function, reflected: bool = False):
+    setattr(Frame, name, lambda self, other, fill_value=None: self._binary(function, other, fill_value, reflected))
+
+
+for _name, _f in aligned.ARITHMETIC.items():
     _operator(f"__{_name}__", _f)
     _operator(_name, _f)
     _reflected(f"__r{_name}__", _f)
-#: A comparison with a missing value is false, and `!=` true.
-_COMPARISONS = {"eq": lambda a, b: a == b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b}
-for _name, _f in _COMPARISONS.items():
-    _operator(f"__{_name}__", lambda a, b, f=_f: F.coalesce(f(a, b), F.lit(False)))
-    _operator(_name, lambda a, b, f=_f: F.coalesce(f(a, b), F.lit(False)))
-_operator("__ne__", lambda a, b: F.coalesce(a != b, F.lit(True)))
+    _reflected(f"r{_name}", _f)
+    for _at in (f"__{_name}__", _name):
+        _of_frames(_at, _f)
+    for _at in (f"__r{_name}__", f"r{_name}"):
+        _of_frames(_at, _f, reflected=True)
+for _name, _f in aligned.COMPARISON.items():
+    for _at in (f"__{_name}__", _name):
+        _operator(_at, _f)
+        _of_frames(_at, _f)
+for _name, _alias in (("sub", "subtract"), ("mul", "multiply"), ("truediv", "div"), ("truediv", "divide")):
+    for _kind in (Series, Frame):
+        setattr(_kind, _alias, getattr(_kind, _name))
+        setattr(_kind, f"r{_alias}", getattr(_kind, f"r{_name}"))
+Frame.__hash__ = object.__hash__
+Frame.__neg__ = lambda self: self.apply_columns(lambda c: -c)
 _operator("__and__", lambda a, b: a & b)
 _operator("__or__", lambda a, b: a | b)
 _operator("__xor__", lambda a, b: a != b)
@@ -573,6 +701,10 @@ for _name in ("sum", "prod", "max", "min", "count", "mean", "var", "std", "sem",
     setattr(GroupBy, _name, lambda self, columns=None, how=_name: self.reduce(how, columns))
 
 
+for _name in ("cumsum", "cumprod", "cummax", "cummin"):
+    setattr(Frame, _name, lambda self, columns=None, how=_name: self.cumulative(**{c: (c, how) for c in _list(columns) or [c for c in self.select_dtypes("number").columns if c not in (*self.index, self.order)]}))
+
+
 def concat(frames: list[Frame], join: str = "outer", keys: list[str] | None = None) -> Frame:
     return Frame(combine.concat([f.sdf.drop(_ORDER) for f in frames], join, keys), frames[0].index)
 

@@ -72,6 +72,88 @@ def random(spark: SparkSession, name: str, size: int, seed: int = 0, *args, part
 # Manipulation.
 
 
+def full_like(array: DataFrame, value: float) -> DataFrame:
+    """The array's places, all with one value."""
+    return array.withColumn("v", F.lit(value).cast("double"))
+
+
+def zeros_like(array: DataFrame) -> DataFrame:
+    return full_like(array, 0.0)
+
+
+def ones_like(array: DataFrame) -> DataFrame:
+    return full_like(array, 1.0)
+
+
+def identity(spark: SparkSession, n: int) -> DataFrame:
+    return eye(spark, n)
+
+
+def tri(spark: SparkSession, n: int, m: int | None = None, k: int = 0) -> DataFrame:
+    """Ones at and below the k-th diagonal."""
+    return full(spark, (n, m or n), 0.0).withColumn("v", (F.col("j") - F.col("i") <= k).cast("double"))
+
+
+def indices(spark: SparkSession, shape: tuple[int, int]) -> DataFrame:
+    """(i, j, row, col) of a grid."""
+    return full(spark, shape, 0.0).select("i", "j", F.col("i").alias("row"), F.col("j").alias("col"))
+
+
+def diagflat(vector: DataFrame, k: int = 0) -> DataFrame:
+    """The vector on the k-th diagonal of a matrix; other places are left out, as zeros."""
+    return vector.select((F.col("i") + max(-k, 0)).alias("i"), (F.col("i") + max(k, 0)).alias("j"), "v")
+
+
+def fill_diagonal(matrix: DataFrame, value: float) -> DataFrame:
+    return matrix.withColumn("v", F.when(F.col("i") == F.col("j"), F.lit(value)).otherwise(F.col("v")))
+
+
+def broadcast_to(vector: DataFrame, rows: int) -> DataFrame:
+    """The vector as every row of a matrix."""
+    return vector.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("r"), F.col("i").alias("j"), "v").withColumnRenamed("r", "i").select("i", "j", "v")
+
+
+def expand_dims(vector: DataFrame, axis: int = 0) -> DataFrame:
+    """The vector as a matrix of one row (axis 0) or one column (axis 1)."""
+    zero = F.lit(0).cast("long")
+    return vector.select(zero.alias("i"), F.col("i").alias("j"), "v") if axis == 0 else vector.select("i", zero.alias("j"), "v")
+
+
+def squeeze(matrix: DataFrame) -> DataFrame:
+    """A matrix of one row or column as a vector."""
+    return matrix.select((F.col("i") + F.col("j")).alias("i"), "v")
+
+
+def split(vector: DataFrame, n: int, parts: int) -> DataFrame:
+    """The vector of length n with the number of its part and the place in it; the first n % parts parts have one more."""
+    small, more = divmod(n, parts)
+    edge = more * (small + 1)
+    i = F.col("i")
+    part = F.when(i < edge, F.floor(i / (small + 1))).otherwise(more + F.floor((i - edge) / max(small, 1)))
+    start = F.when(i < edge, part * (small + 1)).otherwise(edge + (part - more) * small)
+    return vector.select(part.alias("part"), (i - start).alias("i"), "v")
+
+
+def unravel_index(vector: DataFrame, cols: int) -> DataFrame:
+    """Row and column of each place in a matrix of so many columns."""
+    return vector.select("i", F.floor(F.col("i") / cols).alias("r"), (F.col("i") % cols).alias("c"))
+
+
+def insert(vector: DataFrame, at: int, values: list[float]) -> DataFrame:
+    """The vector with values put in before a place."""
+    moved = vector.select(F.when(F.col("i") >= at, F.col("i") + len(values)).otherwise(F.col("i")).alias("i"), F.col("v").cast("double").alias("v"))
+    return moved.union(vector.sparkSession.createDataFrame([(at + n, float(v)) for n, v in enumerate(values)], "i long, v double"))
+
+
+def choose(vector: DataFrame, choices: list[DataFrame]) -> DataFrame:
+    """At each place the value of the choice that the vector names there."""
+    every = None
+    for n, c in enumerate(choices):
+        part = c.select("i", F.lit(n).alias("__n"), "v")
+        every = part if every is None else every.union(part)
+    return vector.select("i", F.col("v").cast("int").alias("__n")).join(every, ["i", "__n"]).select("i", "v")
+
+
 def transpose(matrix: DataFrame) -> DataFrame:
     return matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
@@ -160,6 +242,61 @@ def topk(vector: DataFrame, k: int, largest: bool = True) -> DataFrame:
     return vector.orderBy(F.desc("v") if largest else F.asc("v"), "i").limit(k)
 
 
+def argtopk(vector: DataFrame, k: int, largest: bool = True) -> DataFrame:
+    """(rank, i): the places of the k largest or least values, equal ones in order of their places."""
+    key = F.col("v").desc() if largest else F.col("v").asc()
+    best = vector.orderBy(key, "i").limit(k)
+    return best.select((F.row_number().over(Window.orderBy(key, "i")) - 1).cast("long").alias("rank"), "i")
+
+
+def argwhere(matrix: DataFrame) -> DataFrame:
+    return matrix.filter("v <> 0").select("i", "j")
+
+
+def flatnonzero(matrix: DataFrame, cols: int) -> DataFrame:
+    return matrix.filter("v <> 0").select((F.col("i") * cols + F.col("j")).alias("i"))
+
+
+def count_nonzero(array: DataFrame) -> DataFrame:
+    return array.agg(F.count(F.when(F.col("v") != 0, 1)).alias("n"))
+
+
+def extract(vector: DataFrame, cond) -> DataFrame:
+    """The values where the condition holds, numbered anew."""
+    return compress(vector, cond)
+
+
+def ediff1d(vector: DataFrame) -> DataFrame:
+    return diff(vector)
+
+
+def allclose(a: DataFrame, b: DataFrame, rtol: float = 1e-5, atol: float = 1e-8, places: tuple[str, ...] = ("i",)) -> DataFrame:
+    """One row: whether both have the same places and |a - b| <= atol + rtol * |b| at each."""
+    both = a.select(*places, F.col("v").alias("x")).join(b.select(*places, F.col("v").alias("y")), list(places), "full")
+    return both.agg(F.coalesce(F.bool_and(F.coalesce(F.abs(F.col("x") - F.col("y")) <= atol + rtol * F.abs("y"), F.lit(False))), F.lit(True)).alias("close"))
+
+
+def array_equal(a: DataFrame, b: DataFrame, places: tuple[str, ...] = ("i",)) -> DataFrame:
+    return allclose(a, b, 0.0, 0.0, places).withColumnRenamed("close", "equal")
+
+
+def nanargmin(vector: DataFrame) -> DataFrame:
+    """The place of the least value that is a number."""
+    return argmax(vector.filter("v IS NOT NULL AND NOT isnan(v)"), largest=False)
+
+
+def histogram_bin_edges(frame: DataFrame, column: str, bins: int = 10) -> DataFrame:
+    """(i, edge) of equal bins between the least and the largest value."""
+    ends = frame.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
+    ends = ends.select(F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    return ends.select("lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins).cast("long"))).alias("i")).select("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / bins).alias("edge"))
+
+
+def squareform(pairs: DataFrame) -> DataFrame:
+    """A matrix (i, j, v), its zero diagonal left out, of distances (i, j, d) of each two."""
+    return pairs.select(F.explode(F.array(F.struct("i", "j", "d"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "d"))).alias("x")).select("x.i", "x.j", F.col("x.d").alias("v"))
+
+
 def unique(vector: DataFrame) -> DataFrame:
     """Distinct values with their counts and first places."""
     return vector.groupBy("v").agg(F.count("*").alias("count"), F.min("i").alias("first"))
@@ -213,6 +350,12 @@ def cov(frame: DataFrame, columns: list[str], sample: bool = True) -> DataFrame:
     return frame.agg(pairs.alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+def corrcoef(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, j, v): correlations of each two columns."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.corr(a, b).alias("v")) for i, a in enumerate(columns) for j, b in enumerate(columns)])
+    return frame.agg(pairs.alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
 # Linear algebra.
 
 
@@ -297,8 +440,14 @@ def solve(frame: DataFrame, vector: str, target: str, width: int) -> np.ndarray:
     return np.linalg.solve(g[:width, :width], g[:width, width])
 
 
+#: Rows of a square matrix that may be taken to the driver.
+MAX_SQUARE = 4096
+
+
 def on_driver(matrix: DataFrame, n: int, function) -> DataFrame:
-    """A numpy function of a square matrix that fits on the driver."""
+    """A numpy function of a square matrix that fits on the driver, of MAX_SQUARE rows at most."""
+    if n > MAX_SQUARE:
+        raise ValueError(f"a matrix of {n} rows does not fit on the driver (at most {MAX_SQUARE})")
     rows = matrix.toPandas()
     m = np.zeros((n, n))
     m[rows["i"], rows["j"]] = rows["v"]
@@ -314,6 +463,36 @@ def cholesky(matrix: DataFrame, n: int) -> DataFrame:
     return on_driver(matrix, n, np.linalg.cholesky)
 
 
+def solve_triangular(matrix: DataFrame, target: DataFrame, n: int, lower: bool = True) -> DataFrame:
+    """(i, v): the solution of a triangular system by substitution, on the driver; target is (i, v)."""
+    if n > MAX_SQUARE:
+        raise ValueError(f"a matrix of {n} rows does not fit on the driver (at most {MAX_SQUARE})")
+    rows, right = matrix.filter(F.col("j") <= F.col("i") if lower else F.col("j") >= F.col("i")).toPandas(), target.toPandas()
+    m, x = np.zeros((n, n)), np.zeros(n)
+    m[rows["i"], rows["j"]] = rows["v"]
+    x[right["i"]] = right["v"]
+    for k in range(n) if lower else range(n - 1, -1, -1):
+        rest = slice(0, k) if lower else slice(k + 1, n)
+        x[k] = (x[k] - m[k, rest] @ x[rest]) / m[k, k]
+    return matrix.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, v double")
+
+
+def randomized_svd(frame: DataFrame, vector: str, width: int, k: int, oversample: int = 10, rounds: int = 4, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and right vectors of a tall matrix, by a random range of the Gram matrix that is summed over the rows once."""
+    g = gram(frame, vector, width)
+    q = np.linalg.qr(g @ np.random.RandomState(seed).randn(width, min(width, k + oversample)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(g @ q)[0]
+    values, small = np.linalg.eigh(q.T @ g @ q)
+    at = np.argsort(values)[::-1][:k]
+    return np.sqrt(np.maximum(values[at], 0)), svd_flip((q @ small[:, at]).T)
+
+
+def svd_flip(vectors: np.ndarray) -> np.ndarray:
+    """Row vectors with the sign that makes the largest component of each positive."""
+    return vectors * np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])[:, None]
+
+
 def lu(matrix: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Permutation, unit lower and upper factors, with partial pivoting."""
 
@@ -328,7 +507,14 @@ def lu(matrix: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
                 u[k + 1 :] -= np.outer(low[k + 1 :, k], u[k])
         return p.T, low, u
 
-    return tuple(on_driver(matrix, n, lambda m, i=i: parts(m)[i]) for i in range(3))
+    held: list = []
+
+    def part(m: np.ndarray, i: int) -> np.ndarray:
+        if not held:
+            held.extend(parts(m))
+        return held[i]
+
+    return tuple(on_driver(matrix, n, lambda m, i=i: part(m, i)) for i in range(3))
 
 
 def fft(frame: DataFrame, vector: str, kind: str = "fft") -> DataFrame:
@@ -342,6 +528,18 @@ def fft(frame: DataFrame, vector: str, kind: str = "fft") -> DataFrame:
     return frame.withColumn(kind, run(vector))
 
 
+def fftfreq(spark: SparkSession, n: int, d: float = 1.0, real: bool = False) -> DataFrame:
+    """(i, f): the sample frequencies of a transform of n values."""
+    count = n // 2 + 1 if real else n
+    i = F.col("id")
+    return spark.range(count).select(i.alias("i"), ((i if real else F.when(i < (n + 1) // 2, i).otherwise(i - n)) / (n * d)).alias("f"))
+
+
+def fftshift(vector: DataFrame, n: int, inverse: bool = False) -> DataFrame:
+    """The zero frequency moved to the middle, or back."""
+    return roll(vector, n, -(n // 2) if inverse else n // 2)
+
+
 # Distances of arrays, in the JVM.
 
 

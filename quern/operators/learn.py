@@ -235,13 +235,19 @@ class PCA:
         return arrays.project(centred, "__x", self.components.T, name).drop("__x")
 
 
-def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, metric: str = "euclidean", parts: int = 8) -> DataFrame:
-    """(i, rank, j, d): the k nearest points (i, x) of each query (i, x); blocks keep their best k, which are merged."""
+#: Queries and points of a block of nearest neighbours: a task holds their distances.
+QUERY_ROWS, POINT_ROWS = 2048, 8192
+
+
+def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """(i, rank, j, d): the k nearest points (i, x) of each query (i, x); blocks of both sides keep their best k, which are merged."""
     from pyspark.sql import Window
 
-    block = F.pmod(F.xxhash64("i"), F.lit(parts))
-    p = points.select(F.col("i").alias("j"), F.col("x").alias("y"), block.alias("__b"))
-    q = queries.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    q_blocks, p_blocks = max(1, -(-queries.count() // QUERY_ROWS)), max(1, -(-points.count() // POINT_ROWS))
+    own = lambda n: F.pmod(F.xxhash64("i"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    p = points.select(F.col("i").alias("j"), F.col("x").alias("y"), own(p_blocks).alias("__p")).select("*", every(q_blocks).alias("__q"))
+    q = queries.select("i", "x", own(q_blocks).alias("__q")).select("*", every(p_blocks).alias("__p"))
 
     def best(pdf_q, pdf_p):
         if not len(pdf_q) or not len(pdf_p):
@@ -251,6 +257,63 @@ def nearest_neighbors(queries: DataFrame, points: DataFrame, k: int, metric: str
         at = np.argsort(d, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"i": np.repeat(pdf_q["i"].to_numpy(), at.shape[1]), "j": pdf_p["j"].to_numpy()[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()})
 
-    part = q.groupBy("__b").cogroup(p.groupBy("__b")).applyInPandas(best, "i long, j long, d double")
+    part = q.groupBy("__q", "__p").cogroup(p.groupBy("__q", "__p")).applyInPandas(best, "i long, j long, d double")
     w = Window.partitionBy("i").orderBy("d", "j")
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("i", "rank", "j", "d")
+
+
+def kneighbors_graph(queries: DataFrame, points: DataFrame, k: int, mode: str = "connectivity", metric: str = "euclidean") -> DataFrame:
+    """(i, j, v) of the k nearest points of each query: ones, or the distances."""
+    near = nearest_neighbors(queries, points, k, metric)
+    return near.select("i", "j", (F.lit(1.0) if mode == "connectivity" else F.col("d")).alias("v"))
+
+
+def row_norms(c: Column, squared: bool = False) -> Column:
+    s = F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return s if squared else F.sqrt(s)
+
+
+def multilabel_confusion(frame: DataFrame, y: str, p: str) -> DataFrame:
+    """(label, tn, fp, fn, tp) of every label against the rest, from the counts of label pairs."""
+    pairs = frame.groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count("*").alias("n"))
+    sides = pairs.select("n", F.explode(F.array_distinct(F.array("y", "p"))).alias("label"), "y", "p")
+    hit, right, said = F.col("n"), F.col("y") == F.col("label"), F.col("p") == F.col("label")
+    total = pairs.agg(F.sum("n").alias("total"))
+    out = sides.groupBy("label").agg(*[F.coalesce(F.sum(F.when(c, hit)), F.lit(0)).alias(n) for n, c in (("fp", ~right & said), ("fn", right & ~said), ("tp", right & said))])
+    return out.join(F.broadcast(total)).select("label", (F.col("total") - F.col("fp") - F.col("fn") - F.col("tp")).alias("tn"), "fp", "fn", "tp")
+
+
+class LabelEncoder:
+    """Codes of the sorted distinct labels, at most `most` of them, which are held on the driver."""
+
+    def __init__(self, most: int = 100_000):
+        self.most, self.classes = most, []
+
+    def fit(self, frame: DataFrame, column: str) -> LabelEncoder:
+        rows = frame.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).limit(self.most + 1).collect()
+        if len(rows) > self.most:
+            raise ValueError(f"more than {self.most} labels")
+        self.classes = [r[0] for r in rows]
+        return self
+
+    def transform(self, c: Column) -> Column:
+        """The label's code from 0; missing for a label that was not seen."""
+        place = F.array_position(F.array(*[F.lit(x) for x in self.classes]), c)
+        return F.when(place > 0, place - 1)
+
+    def inverse(self, c: Column) -> Column:
+        return F.try_element_at(F.array(*[F.lit(x) for x in self.classes]), (c + 1).cast("int"))
+
+
+class TruncatedSVD:
+    """The leading right singular vectors of the rows' vectors, without centring."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def fit(self, frame: DataFrame, vector: str, width: int) -> TruncatedSVD:
+        self.singular_values, self.components = arrays.randomized_svd(frame, vector, width, self.k)
+        return self
+
+    def transform(self, frame: DataFrame, vector: str, name: str = "projected") -> DataFrame:
+        return arrays.project(frame, vector, self.components.T, name)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import windows
+
 
 def sort_values(frame: DataFrame, by: list[str], ascending=True, na_position: str = "last") -> DataFrame:
     """A global range-partitioned sort; missing values go last, or first, whatever the direction."""
@@ -53,3 +55,19 @@ def idxmax(frame: DataFrame, column: str, label: str, ties: list[str] | None = N
 
 def topk_per_group(frame: DataFrame, keys: list[str], n: int, order: list) -> DataFrame:
     return frame.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
+
+
+def rank_values(frame: DataFrame, column: str, method: str = "average", pct: bool = False, name: str | None = None) -> DataFrame:
+    """The frame with the ranks of a column's values (average, min, max or dense) from 1, in its place or beside it; missing values have none.
+
+    Ranks are taken over the distinct values and their counts, and joined to the rows.
+    """
+    counts = frame.filter(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("__v")).agg(F.count("*").alias("__n")).withColumn("__one", F.lit(1))
+    counts = windows.cumulative(counts, "__v", __upto=("__n", "cumsum"), __dense=("__one", "cumsum"))
+    first, last = F.col("__upto") - F.col("__n") + 1, F.col("__upto")
+    value = {"average": (first + last) / 2, "min": first, "max": last, "dense": F.col("__dense")}[method].cast("double")
+    if pct:
+        value = value / counts.agg(F.max("__dense" if method == "dense" else "__upto")).first()[0]
+    ranks = counts.select(F.col("__v"), value.alias("__rank"))
+    out = frame.join(ranks, F.col(f"`{column}`") == F.col("__v"), "left")
+    return out.withColumn(name or column, F.col("__rank")).drop("__v", "__rank")

@@ -177,3 +177,33 @@ def ks_2samp(frame: DataFrame, column: str, group: Column) -> DataFrame:
     both = cumulative(steps, "v", ca=("a", "cumsum"), cb=("b", "cumsum"))
     size = steps.agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
     return both.crossJoin(F.broadcast(size)).agg(F.max(F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m"))).alias("d"))
+
+
+def ttest_ind_from_stats(frame: DataFrame, mean1: str, std1: str, n1: str, mean2: str, std2: str, n2: str, equal_var: bool = True) -> DataFrame:
+    """(t, df) of each row of summary statistics."""
+    m1, s1, k1, m2, s2, k2 = (F.col(c).cast("double") for c in (mean1, std1, n1, mean2, std2, n2))
+    if equal_var:
+        df = k1 + k2 - 2
+        error = F.sqrt(((k1 - 1) * s1 * s1 + (k2 - 1) * s2 * s2) / df * (1 / k1 + 1 / k2))
+    else:
+        a, b = s1 * s1 / k1, s2 * s2 / k2
+        df, error = (a + b) * (a + b) / (a * a / (k1 - 1) + b * b / (k2 - 1)), F.sqrt(a + b)
+    return frame.select("*", ((m1 - m2) / error).alias("t"), df.alias("df"))
+
+
+def ks_1samp(frame: DataFrame, column: str, cdf) -> DataFrame:
+    """(statistic): the largest distance of the empirical distribution from a distribution function of a column, by counts of distinct values."""
+    from quern.operators import windows
+
+    counts = frame.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    run = windows.cumulative(counts, "v", upto=("n", "cumsum")).join(F.broadcast(total))
+    f = cdf(F.col("v"))
+    above, below = F.col("upto") / F.col("total") - f, f - (F.col("upto") - F.col("n")) / F.col("total")
+    return run.agg(F.max(F.greatest(above, below)).alias("statistic"))
+
+
+def rankdata(frame: DataFrame, column: str, method: str = "average", name: str = "rank") -> DataFrame:
+    from quern.operators import order
+
+    return order.rank_values(frame, column, method, name=name)

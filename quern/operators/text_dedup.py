@@ -70,9 +70,14 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) by rounds of taking the least label of the neighbours and of the label's own label."""
     spark = links.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not folder:
+            import tempfile
+
+            folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        spark.sparkContext.setCheckpointDir(folder)
     both = links.union(links.select("b", "a")).toDF("a", "b").distinct().checkpoint()
     label = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")).checkpoint()
     while True:

@@ -33,7 +33,7 @@ def apply_rows(frame: DataFrame, func, schema: str) -> DataFrame:
 
     def run(parts):
         for pdf in parts:
-            yield pd.DataFrame([func(r) for _, r in pdf.iterrows()], columns=names)
+            yield pd.DataFrame([func(pd.Series(r, index=pdf.columns)) for r in pdf.itertuples(index=False, name=None)], columns=names)
 
     return frame.mapInPandas(run, schema)
 

@@ -9,6 +9,7 @@ taken over chunks of positions that borrow the rows they need from the chunk bef
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,10 +87,17 @@ def over_rows(frame: DataFrame, position: str, before: int, after: int, make, ch
     return out.filter("NOT __halo").drop("__chunk", "__halo")
 
 
+def _groups(keys: list[str], order: list) -> Window:
+    """The ordered rows of each group; without groups all rows go to one task, which the functions on whole frames avoid."""
+    if not keys:
+        warnings.warn("no group keys: all rows go to one task; rolling_frame, shift_frame, over_rows and cumulative do not need that", stacklevel=3)
+    return Window.partitionBy(*keys).orderBy(*order)
+
+
 def rolling(keys: list[str], order: list, window: int, column: str, how: str, min_periods: int | None = None, center: bool = False) -> Column:
     """A reduction over the last `window` rows of the group, missing with fewer than min_periods values."""
     back, ahead = (window // 2, (window - 1) // 2) if center else (window - 1, 0)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-back, ahead)
+    w = _groups(keys, order).rowsBetween(-back, ahead)
     return _enough(how, column, w, window if min_periods is None else min_periods)
 
 
@@ -103,13 +111,13 @@ def _enough(how: str, column: str, w, least: int) -> Column:
 
 def rolling_pair(keys: list[str], order: list, window: int, a: str, b: str, how: str) -> Column:
     """Rolling correlation or covariance of two columns."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window - 1), 0)
+    w = _groups(keys, order).rowsBetween(-(window - 1), 0)
     return F.when(F.count(F.when(F.col(a).isNotNull(), F.col(b))).over(w) >= window, (F.corr if how == "corr" else F.covar_samp)(a, b).over(w))
 
 
 def rolling_time(keys: list[str], time: str, seconds: int, column: str, how: str) -> Column:
     """A reduction over the rows of the last so many seconds, the start excluded."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(time)).rangeBetween(-seconds * 1_000_000 + 1, 0)
+    w = _groups(keys, [F.unix_micros(time)]).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return _enough(how, column, w, 1)
 
 
@@ -120,11 +128,11 @@ def rolling_frame(frame: DataFrame, position: str, window: int, **named) -> Data
 
 def expanding(keys: list[str], order: list, column: str, how: str, min_periods: int = 1) -> Column:
     """A reduction over all rows of the group so far."""
-    return _enough(how, column, Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0), min_periods)
+    return _enough(how, column, _groups(keys, order).rowsBetween(Window.unboundedPreceding, 0), min_periods)
 
 
 def shift(keys: list[str], order: list, column: str, periods: int = 1, fill=None) -> Column:
-    w = Window.partitionBy(*keys).orderBy(*order)
+    w = _groups(keys, order)
     return F.lag(column, periods, fill).over(w) if periods >= 0 else F.lead(column, -periods, fill).over(w)
 
 
@@ -140,7 +148,7 @@ def diff(keys: list[str], order: list, column: str, periods: int = 1) -> Column:
 
 def pct_change(keys: list[str], order: list, column: str, periods: int = 1) -> Column:
     """Relative change of the value, with missing values filled forward first."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    w = _groups(keys, order)
     filled = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     past = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -periods))
     return F.when(past != 0, filled / F.when(past != 0, past) - 1)

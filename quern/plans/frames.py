@@ -559,3 +559,134 @@ def replace_regex(s, d):
 @plan("SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code FROM orders")
 def category_codes(s, d):
     return convert.category(T(s, d, "orders"), "o_orderpriority").select("o_orderkey", "code")
+
+
+# The data-frame API on whole tables.
+
+_FO = "(SELECT o_custkey, sum(o_totalprice) AS total, count(*)::DOUBLE AS n FROM orders WHERE o_orderstatus = '{}' GROUP BY 1)"
+_BOTH = f"{_FO.format('F')} a FULL JOIN {_FO.format('O')} b ON a.o_custkey = b.o_custkey"
+
+
+def _sides(s, d):
+    from quern import frame as Q
+
+    def of(status):
+        t = T(s, d, "orders").filter(F.col("o_orderstatus") == status)
+        return Q.Frame(t.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), F.count("*").cast("double").alias("n")), "o_custkey")
+
+    return of("F"), of("O")
+
+
+def _orders(s, d):
+    from quern import frame as Q
+
+    return Q.Frame(T(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
+
+
+@plan(f"SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, round(coalesce(a.total, 0) + coalesce(b.total, 0), 2) AS total, coalesce(a.n, 0) + coalesce(b.n, 0) AS n FROM {_BOTH}")
+def frame_add_fill(s, d):
+    a, b = _sides(s, d)
+    return a.add(b, fill_value=0.0).sdf.withColumn("total", F.round("total", 2))
+
+
+@plan(f"SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, round(a.total - b.total, 2) AS total, a.n - b.n AS n FROM {_BOTH}")
+def frame_sub_aligned(s, d):
+    a, b = _sides(s, d)
+    return (a - b).sdf.withColumn("total", F.round("total", 2))
+
+
+@plan(f"SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.total > b.total, false) AS total, coalesce(a.n > b.n, false) AS n FROM {_BOTH}")
+def frame_gt_aligned(s, d):
+    a, b = _sides(s, d)
+    return (a > b).sdf
+
+
+@plan("SELECT o_orderkey, 100 - o_custkey AS o_custkey, round(100 - o_totalprice, 2) AS o_totalprice FROM orders")
+def frame_reflected_scalar(s, d):
+    return (100 - _orders(s, d)).sdf.withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@plan("SELECT o_orderkey, o_custkey * 2 AS o_custkey, round(o_totalprice * 0.5, 3) AS o_totalprice FROM orders")
+def frame_mul_mapping(s, d):
+    return _orders(s, d).mul({"o_custkey": 2, "o_totalprice": 0.5}).sdf.withColumn("o_totalprice", F.round("o_totalprice", 3))
+
+
+@plan(f"SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, round(coalesce(a.total, b.total), 2) AS total, coalesce(a.n, b.n) AS n FROM {_BOTH}")
+def frame_combine_first(s, d):
+    a, b = _sides(s, d)
+    return a.combine_first(b).sdf.withColumn("total", F.round("total", 2))
+
+
+@plan(f"SELECT 'n' AS \"column\", round(corr(a.n, b.n), 6) AS corr FROM {_BOTH} WHERE a.n IS NOT NULL AND b.n IS NOT NULL UNION ALL SELECT 'total', round(corr(a.total, b.total), 6) FROM {_BOTH} WHERE a.n IS NOT NULL AND b.n IS NOT NULL")
+def frame_corrwith(s, d):
+    a, b = _sides(s, d)
+    return a.corrwith(b).sdf.withColumn("corr", F.round("corr", 6))
+
+
+@plan("SELECT o_custkey, round(sum(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY 1")
+def groupby_getitem(s, d):
+    return _orders(s, d).groupby("o_custkey")["o_totalprice"].sum().sdf.withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@plan("SELECT o_orderkey, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS o_custkey, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS o_totalprice FROM orders")
+def frame_rank(s, d):
+    return _orders(s, d).rank().sdf
+
+
+@plan("SELECT o_orderkey, greatest(least(o_custkey, 100), 20) AS o_custkey, o_totalprice FROM orders")
+def frame_clip(s, d):
+    return _orders(s, d).clip(20, 100, "o_custkey").sdf
+
+
+@plan("SELECT i::INT AS i, j::INT AS j, round(covar_samp(CASE i WHEN 0 THEN o_custkey ELSE o_totalprice END, CASE j WHEN 0 THEN o_custkey ELSE o_totalprice END), 3) AS v FROM orders, range(2) a(i), range(2) b(j) GROUP BY 1, 2")
+def frame_cov(s, d):
+    return _orders(s, d).cov(["o_custkey", "o_totalprice"]).sdf.withColumn("v", F.round("v", 3))
+
+
+@plan("SELECT l_orderkey, round(sum(l_quantity) FILTER (l_linenumber = 1), 2) AS l_quantity_1, round(sum(l_quantity) FILTER (l_linenumber = 2), 2) AS l_quantity_2 FROM lineitem GROUP BY 1")
+def frame_unstack(s, d):
+    from quern import frame as Q
+
+    return Q.Frame(T(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("l_quantity")), ["l_orderkey", "l_linenumber"]).unstack([1, 2]).sdf
+
+
+@plan("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_linenumber = 2")
+def frame_xs(s, d):
+    from quern import frame as Q
+
+    return Q.Frame(T(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"]).xs(2, "l_linenumber").sdf
+
+
+@plan("SELECT o_orderkey AS k, o_custkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 10 AND 500")
+def frame_truncate_rename_axis(s, d):
+    return _orders(s, d).truncate(10, 500).rename_axis("k").sdf
+
+
+@plan("SELECT c_custkey AS o_custkey, round(total, 2) AS total FROM customer LEFT JOIN " + _FO.format("F") + " ON o_custkey = c_custkey")
+def frame_reindex_like(s, d):
+    from quern import frame as Q
+
+    a, _ = _sides(s, d)
+    like = Q.Frame(T(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(0.0).alias("total")), "o_custkey")
+    return a.reindex_like(like).sdf.select("o_custkey", F.round("total", 2).alias("total"))
+
+
+@plan("SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY o_orderkey)::BIGINT AS o_custkey, max(o_totalprice) OVER (ORDER BY o_orderkey) AS top FROM orders")
+def frame_cumsum(s, d):
+    from quern import frame as Q
+
+    f = Q.Frame(T(s, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("top")), "o_orderkey", order="o_orderkey")
+    return f.cumsum("o_custkey").cummax("top").sdf
+
+
+@plan("SELECT o_orderkey AS label FROM orders WHERE o_orderkey IN (1, 2, 3, 64)")
+def index_to_series(s, d):
+    f = _orders(s, d)
+    return f[f.index_frame().isin([1, 2, 3, 64])].index_frame().to_frame().rename_axis("label").sdf.select("label")
+
+
+@plan("SELECT 'o_orderpriority' AS \"column\", sum(strlen(o_orderpriority))::BIGINT AS bytes FROM orders UNION ALL SELECT 'o_totalprice', count(*) * 8 FROM orders")
+def frame_memory_usage(s, d):
+    from quern import frame as Q
+
+    return Q.Frame(T(s, d, "orders").select("o_orderpriority", "o_totalprice")).memory_usage().sdf

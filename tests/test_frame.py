@@ -110,3 +110,88 @@ def test_combination(both):
     got = f.merge(f.groupby("k").agg(t=("n", "sum")), "inner", left_on="k", right_on="k")
     assert len(got) == len(pdf)
     same(f.query("n > 1 and v > 0.2").to_pandas(), pdf.query("n > 1 and v > 0.2"))
+
+
+def test_arithmetic_of_frames_aligns_on_the_index(spark):
+    a = pd.DataFrame({"k": [1, 2, 3, 5], "x": [1.0, np.nan, 3.0, 4.0], "y": [1.0, 2.0, 3.0, 4.0]}).set_index("k")
+    b = pd.DataFrame({"k": [2, 3, 4, 5], "x": [10.0, np.nan, 30.0, 0.0], "z": [1.0, 2.0, 3.0, 4.0]}).set_index("k")
+    fa, fb = (Q.from_pandas(spark, p.reset_index()).set_index("k") for p in (a, b))
+
+    def check(got, want):
+        got = got.to_pandas().reset_index().sort_values("k").set_index("k")[list(want.columns)]
+        pd.testing.assert_frame_equal(got[sorted(got)].astype(float), want[sorted(want)].astype(float), check_dtype=False, check_index_type=False)
+
+    check(fa + fb, a + b)
+    check(fa.add(fb, fill_value=1.0), a.add(b, fill_value=1.0))
+    check(fa.rsub(fb), a.rsub(b))
+    check(fa.combine_first(fb), a.combine_first(b))
+    check(fa * 3, a * 3)
+    check(2 - fa, 2 - a)
+    got = fa.corrwith(fb).sdf.collect()
+    assert [r["column"] for r in got] == ["x"]
+
+
+def test_more_of_the_frame_api(spark):
+    pdf = pd.DataFrame({"k": list("aabbc"), "n": [1, 2, 1, 2, 1], "v": [5.0, np.nan, 5.0, -2.0, 9.0]})
+    f = Q.from_pandas(spark, pdf)
+    same(f.rank("v").to_pandas(), pdf.assign(v=pdf["v"].rank()))
+    same(f.rank("v", "dense", pct=True).to_pandas(), pdf.assign(v=pdf["v"].rank(method="dense", pct=True)))
+    same(f.clip(-1, 6, "v").to_pandas(), pdf.assign(v=pdf["v"].clip(-1, 6)))
+    got = f.groupby("k")["v"].max().sdf.toPandas().sort_values("k")
+    assert got["v"].tolist() == [5.0, 5.0, 9.0] and list(got.columns) == ["k", "v"]
+    g = f.set_index(["k", "n"])
+    assert {r.k: (r.v_1, r.v_2) for r in g.unstack([1, 2]).sdf.collect()} == {"a": (5.0, None), "b": (5.0, -2.0), "c": (9.0, None)}
+    assert sorted(r.k for r in g.xs(2, "n").sdf.collect()) == ["a", "b"]
+    assert g.rename_axis({"k": "key"}).index == ["key", "n"]
+    assert {r["column"]: r["bytes"] for r in g.memory_usage().sdf.collect()} == {"v": 40}
+
+
+def test_folds_part_the_rows(spark):
+    from quern.operators import learn
+
+    t = spark.range(2000).withColumnRenamed("id", "k")
+    folds = learn.kfold(t, "k", 5).groupBy("fold").count().collect()
+    assert len(folds) == 5 and sum(r["count"] for r in folds) == 2000 and min(r["count"] for r in folds) > 300
+
+
+def test_triangular_systems_and_transforms(spark):
+    from quern.operators import arrays as A
+
+    rng = np.random.RandomState(0)
+    m, x = np.triu(rng.rand(6, 6) + np.eye(6)), rng.rand(6)
+    long = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(6) for j in range(6)], "i long, j long, v double")
+    right = spark.createDataFrame([(i, float(v)) for i, v in enumerate(m @ x)], "i long, v double")
+    got = A.solve_triangular(long, right, 6, lower=False).orderBy("i").toPandas()["v"]
+    np.testing.assert_allclose(got, x)
+    for n in (7, 8):
+        np.testing.assert_allclose(A.fftfreq(spark, n, 0.1).orderBy("i").toPandas()["f"], np.fft.fftfreq(n, 0.1))
+        v = spark.createDataFrame([(i, float(i)) for i in range(n)], "i long, v double")
+        assert A.fftshift(v, n).orderBy("i").toPandas()["v"].tolist() == np.fft.fftshift(np.arange(n)).tolist()
+        assert A.fftshift(A.fftshift(v, n), n, inverse=True).orderBy("i").toPandas()["v"].tolist() == list(range(n))
+    with pytest.raises(ValueError):
+        A.inverse(long, 5000)
+
+
+def test_truncated_svd(spark):
+    from quern.operators import learn
+
+    x = np.random.RandomState(1).rand(50, 5)
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
+    got = learn.TruncatedSVD(2).fit(df, "x", 5)
+    _, values, vectors = np.linalg.svd(x)
+    np.testing.assert_allclose(got.singular_values, values[:2], rtol=1e-6)
+    np.testing.assert_allclose(np.abs(got.components), np.abs(vectors[:2]), atol=1e-6)
+    assert len(got.transform(df, "x").first()["projected"]) == 2
+
+
+def test_entry_survives_a_missing_dependency(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/quern", tmp_path / "quern", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries())"
+    assert subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path).returncode == 0
