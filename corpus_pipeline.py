@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from quern.llm import decontaminate, language_id, near_dedup, packing, pii
-from quern.llm.lineage import stored
+from quern.llm.lineage import bound_batches, stored
 
 
 def identify(spark, docs, sf_dir):
     """Documents whose language is clear stay, with all their columns."""
+    bound_batches(spark)
     labelled = docs.filter(~language_id.held_out("doc_id", 5, 0))
     return language_id.identify(docs, language_id.train_dictionaries(labelled), only_accepted=True)
 
@@ -19,6 +20,7 @@ def deduplicate(spark, docs, sf_dir):
 
 def decontaminated(spark, docs, sf_dir):
     """Documents with no benchmark window stay."""
+    bound_batches(spark)
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -29,6 +31,7 @@ def sanitised(spark, docs, sf_dir):
 
 def packed(spark, docs, sf_dir):
     """Every piece of every document gets its bin and place."""
+    bound_batches(spark)
     return packing.pack_documents(docs)
 
 

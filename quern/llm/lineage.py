@@ -1,4 +1,4 @@
-"""Cutting lineage in storage that all executors share, and column names of one's own."""
+"""Cutting lineage in storage that all executors share, bounded Arrow batches, and column names of one's own."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch of rows on their way to Python, where the session leaves the bound at Spark's default.
+BATCH_BYTES = 2 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, on one machine, a new local folder, set for the session.
@@ -24,6 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless it has a bound of its own.
+
+    A batch lies outside the heap, once in the executor and once in Python, and each may
+    hold twice its bytes while it grows; by Spark's default of 64 MiB, batches of long
+    texts take hundreds of megabytes a core. A text above the bound is a batch alone.
+    """
+    if spark.conf.get(_BATCH) in {f"{_BATCH_DEFAULT}b", str(_BATCH_DEFAULT)}:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """The frame written to the shared folder and read again: its lineage ends there, and a lost executor loses none of it.
 

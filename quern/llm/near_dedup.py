@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import textcore as T
 from quern.llm.components import connected_components
-from quern.llm.lineage import free_names, refuse_clash, stored
+from quern.llm.lineage import bound_batches, free_names, refuse_clash, stored
 
 TREES = 16
 #: Tokens that name a node of a tree; the classes of a node above LEAF take BRANCHES paths of DEEP tokens.
@@ -418,6 +418,7 @@ def _crossing_links(large: DataFrame, k: int, percent: int) -> DataFrame:
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; rows link if 100 * intersection >= percent * union."""
     refuse_clash(doc_id, ["n_shingles", "component_id", "kept"])
+    bound_batches(docs.sparkSession)
     prints = stored(fingerprint(docs, doc_id, text, k))
     same = stored(prints.filter("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     reps = prints.filter("id IS NOT NULL").join(same.select("h1", "h2", "n", F.col("rep").alias("id")), ["h1", "h2", "n", "id"], "left_semi").dropDuplicates(["id", "h1", "h2"])

@@ -6,11 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, embedding_dedup, html_extract, language_id, language_model, near_dedup, packing, pii, registry, secret_scan, textcore, toxicity
+from quern.llm import decontaminate, embedding_dedup, html_extract, language_id, language_model, lineage, near_dedup, packing, pii, registry, secret_scan, textcore, toxicity
 from quern.llm.components import connected_components
 from tests.llm import cases
 from tests.oracle import SMALL, same
@@ -706,3 +707,23 @@ def test_rest_runs_without_this_package(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path).returncode == 0
+
+
+def test_batches_are_bounded_unless_the_session_has_a_bound(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(5 << 20))
+        lineage.bound_batches(spark)
+        assert spark.conf.get(name) == str(5 << 20)
+        spark.conf.unset(name)
+        lineage.bound_batches(spark)
+        assert spark.conf.get(name) == str(lineage.BATCH_BYTES)
+        # Texts above the bound, and many of them, come through whole.
+        docs = spark.createDataFrame([(i, ("word%d " % i) * (600_000 if i == 3 else 20_000)) for i in range(40)], "doc_id long, text string").coalesce(1)
+        got = packing.measure(docs.withColumn("source", F.lit("s")), "doc_id", "text", "source").toPandas()
+        assert dict(zip(got["id"], got["n_tokens"], strict=True)) == {i: (600_001 if i == 3 else 20_001) for i in range(40)}
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").toPandas()["n"]
+        assert sizes.sum() == 40 and sizes.max() < 40
+    finally:
+        spark.conf.set(name, before)
