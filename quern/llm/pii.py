@@ -1,9 +1,9 @@
 """Personal data: fixed patterns and information-theoretic sanitisation, by DataFrame functions alone.
 
-The matches of the patterns are the protected entities. A term that stands within `REACH`
-words of an entity, in at least `SUPPORT` different texts, may give it away. Its disclosure
-is the share of the entity's information that the term carries, by counts of documents in
-the whole corpus, whole texts and repeated rows included,
+The matches of the patterns are the protected entities. A term that stands anywhere in the
+documents of an entity, with it in at least `SUPPORT` different texts, may give it away. Its
+disclosure is the share of the entity's information that the term carries, by counts of
+documents in the whole corpus, whole texts and repeated rows included,
 
     ln(n(entity and term) * N / (n(entity) * n(term))) / ln(N / n(entity))
 
@@ -12,8 +12,12 @@ document that holds the entity. Entities are replaced by their kind and terms by
 word. Words inside an entity are no terms.
 
 The patterns are matched once, and the spans are stored. Words are placed for those
-documents alone that hold an entity of `SUPPORT` texts. The documents of a pair are found
-from the entity or the term, whichever has fewer.
+documents alone that hold an entity of `SUPPORT` texts. By the formula a disclosing term has
+
+    n(entity and term) >= n(term) * (n(entity) / N) ** (1 - LIMIT)
+
+so pairs are made only where both the entity and the term are in that many of the placed
+documents, which leaves out no disclosing pair.
 
 Cases: null and empty texts have no spans. Copies of a text count as one for the support.
 Repeated rows come out once each; other columns are ignored, or kept as they are by
@@ -36,6 +40,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
+#: Words beside an entity that were once the only candidates; it bounds nothing now, and only a test's brute force reads it.
 REACH = 5
 SUPPORT = 2
 LIMIT = 0.9
@@ -95,8 +100,8 @@ def _entities(some: DataFrame) -> DataFrame:
     return rows.join(shared, "entity")
 
 
-def _words_and_neighbours(some: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, number, term, start, end) of the words outside entities, numbered per document, and (key, entity, number) of each entity's near words."""
+def _words(some: DataFrame, entities: DataFrame) -> DataFrame:
+    """(key, term, start, end) of the words outside entities, of the documents that hold some."""
     matches, pieces = F.regexp_extract_all("t", F.lit(_WORD), F.lit(0)), F.split("t", _WORD, -1)
     pairs = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(F.length(p).alias("gap"), m.alias("match")))
     texts = some.join(entities.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))
@@ -106,16 +111,13 @@ def _words_and_neighbours(some: DataFrame, entities: DataFrame) -> tuple[DataFra
     # Ends of entities come before what starts in the same place, and their starts before words.
     none = F.lit(None).cast("string")
     turns = [
-        entities.select("key", F.col("end").alias("at"), F.lit(0).alias("rank"), F.lit(-1).alias("opens"), "entity", none.alias("term"), "end"),
-        entities.select("key", F.col("start").alias("at"), F.lit(1).alias("rank"), F.lit(1).alias("opens"), "entity", none.alias("term"), "end"),
-        words.select("key", F.col("start").alias("at"), F.lit(2).alias("rank"), F.lit(0).alias("opens"), none.alias("entity"), "term", "end"),
+        entities.select("key", F.col("end").alias("at"), F.lit(0).alias("rank"), F.lit(-1).alias("opens"), none.alias("term"), "end"),
+        entities.select("key", F.col("start").alias("at"), F.lit(1).alias("rank"), F.lit(1).alias("opens"), none.alias("term"), "end"),
+        words.select("key", F.col("start").alias("at"), F.lit(2).alias("rank"), F.lit(0).alias("opens"), "term", "end"),
     ]
-    order = Window.partitionBy("key").orderBy("at", "rank", "end", "entity").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("key").orderBy("at", "rank", "end").rowsBetween(Window.unboundedPreceding, 0)
     line = turns[0].union(turns[1]).union(turns[2]).withColumn("open", F.sum("opens").over(order))
-    line = stored(line.withColumn("number", F.sum(F.when((F.col("rank") == 2) & (F.col("open") == 0), 1).otherwise(0)).over(order)))
-    near = F.when(F.col("rank") == 0, F.sequence(F.col("number") + 1, F.col("number") + REACH)).otherwise(F.sequence(F.col("number") - REACH + 1, "number"))
-    beside = line.filter("rank < 2").select("key", "entity", F.explode(near).alias("number")).distinct()
-    return line.filter("rank = 2 AND open = 0").select("key", "number", "term", F.col("at").alias("start"), "end"), beside
+    return line.filter("rank = 2 AND open = 0").select("key", "term", F.col("at").alias("start"), "end")
 
 
 def disclosing(docs: DataFrame, some: DataFrame, text: str) -> tuple[DataFrame, DataFrame] | None:
@@ -123,29 +125,29 @@ def disclosing(docs: DataFrame, some: DataFrame, text: str) -> tuple[DataFrame,
     entities = stored(_entities(some))
     if entities.isEmpty():
         return None
-    words, beside = _words_and_neighbours(some, entities)
-    copy = entities.select("key", "copy").distinct()
-    asked = beside.join(words, ["key", "number"]).join(copy, "key").groupBy("entity", "term").agg(F.count_distinct("copy").alias("texts")).filter(F.col("texts") >= SUPPORT).select("entity", "term")
-    asked = stored(asked)
-    if asked.isEmpty():
-        return None
-    times = some.groupBy("key").agg(F.count("*").alias("times"))
-    holds = stored(entities.select("key", "entity").distinct().join(times, "key"))
-    has = stored(words.select("key", "term").distinct().join(asked.select("term").distinct(), "term", "left_semi"))
-    n_entity = holds.groupBy("entity").agg(F.sum("times").alias("n_entity"), F.count("*").alias("of_entity"))
-    of_term = has.groupBy("term").agg(F.count("*").alias("of_term"))
-    sized = asked.join(n_entity, "entity").join(of_term, "term")
-    from_term = sized.filter("of_term <= of_entity").select("entity", "term").join(has, "term").join(holds, ["key", "entity"])
-    from_entity = sized.filter("of_term > of_entity").select("entity", "term").join(holds, "entity").join(has, ["key", "term"])
-    both = stored(from_term.select("key", "entity", "term", "times").union(from_entity.select("key", "entity", "term", "times")))
-    n_both = both.groupBy("entity", "term").agg(F.sum("times").alias("n_both"))
-    total = docs.count()
+    n = F.lit(float(max(docs.count(), 1)))
+    words = stored(_words(some, entities))
+    texts = stored(entities.select("key", "copy").distinct().join(some.groupBy("key").agg(F.count("*").alias("times")), "key"))
+    each = entities.select("key", "entity").distinct().join(texts, "key")
+    n_entity = each.groupBy("entity").agg(F.sum("times").alias("n_entity")).filter(F.col("n_entity") < n)
+    holds = stored(each.join(n_entity, "entity").select("key", "entity", "n_entity"))
+    has = stored(words.select("key", "term").distinct().join(texts, "key"))
     # Counted before the join, so that a word makes a row per task and not one per document.
     every = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(f"`{text}`")), r"[^\p{L}\p{M}]+"))).alias("term")).filter(F.length("term") >= 4)
     often = every.groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(max(total, 1)))
+    placed = has.groupBy("term").agg(F.count_distinct("copy").alias("texts"), F.sum("times").alias("n_placed")).filter(F.col("texts") >= SUPPORT)
+
+    def needed(n_entity: Column) -> Column:
+        """The documents that a disclosing pair has at least, less what rounding may add."""
+        return F.col("n_term") * F.pow(n_entity / n, F.lit(1 - LIMIT)) * (1 - 1e-9)
+
+    terms = placed.join(often, "term", "left").select("term", "n_placed", F.coalesce("n_term", F.lit(0)).alias("n_term"))
+    terms = stored(terms.filter(F.col("n_placed") >= needed(F.lit(float(SUPPORT)))))
+    both = has.join(terms, "term").join(holds, "key").filter(F.least("n_placed", "n_entity") >= needed(F.col("n_entity")))
+    both = stored(both.select("key", "copy", "times", "entity", "term", "n_entity", "n_term"))
+    n_both = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.count_distinct("copy").alias("texts"), F.sum("times").alias("n_both"))
     share = F.log(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.greatest(F.log(n / F.col("n_entity")), F.lit(1e-9))
-    found = n_both.join(n_entity.select("entity", "n_entity"), "entity").join(often, "term").filter((F.col("n_entity") < n) & (share >= LIMIT)).select("entity", "term")
+    found = n_both.filter((F.col("texts") >= SUPPORT) & (share >= LIMIT)).select("entity", "term")
     return both.select("key", "entity", "term").join(found, ["entity", "term"]), words
 
 

@@ -470,6 +470,32 @@ def test_disclosing_terms_equal_brute_force(spark):
         assert {(s.start, s.end, s.match) for s in r.term} == want[r.doc_id, text[r.doc_id]], r.doc_id
 
 
+def test_disclosing_terms_are_found_anywhere_in_a_text(spark, monkeypatch):
+    rng = np.random.RandomState(3)
+    common, names = [f"word{c}" for c in "abcdefghij"], [f"Name{c}" for c in "klmnopq"]
+    rows = []
+    for i in range(150):
+        w = list(rng.choice(common, 40))
+        if i % 3 == 0:
+            e = i // 3 % 6
+            w[rng.randint(3)] = f"m{e}@corp.com"
+            w[20 + rng.randint(19)] = names[e]
+            w += [names[(e + 1) % 7]] * (i % 15 == 0)
+        elif i % 30 == 1:
+            w[5] = names[i // 30 % 3]
+        rows.append((i, " ".join(w), None, None))
+    rows += [rows[0], rows[3], (300, rows[6][1], None, None)]
+    near = brute_terms(rows)
+    with monkeypatch.context() as m:
+        m.setattr(pii, "REACH", 10**9)
+        want = brute_terms(rows)
+    assert sum(map(len, want.values())) > sum(map(len, near.values())) + 8
+    got = pii.find(cases.frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert {(s.start, s.end, s.match) for s in r.term} == want[r.doc_id, next(t for d, t, *_ in rows if d == r.doc_id)], r.doc_id
+
+
 def test_sanitise_keeps_columns_of_any_name(spark):
     docs = cases.frame(spark, [(1, "write to a@b.cc", None, None), (2, "nothing", None, None), (3, None, None, None)]).select("*", *[F.lit(i).alias(c) for i, c in enumerate(("__hits", "__key", "__terms", "found", "term", "a.b"))])
     got = {r.doc_id: r for r in pii.sanitise(docs).collect()}
