@@ -36,6 +36,16 @@ def test_words_equal_the_patterns():
             assert seen.setdefault(h, w.text(j)) == w.text(j)
 
 
+def test_stored_tables_have_data_files_alone(spark):
+    out = lineage.stored(spark.range(0, 100, 1, 5))
+    names = sorted(x.getPath().getName() for x in out.stored_in.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(out.stored_in))
+    folder = str(out.stored_in).removeprefix("file:")
+    assert len(names) == 5 and all(n.startswith("part-") for n in names) and sorted(os.listdir(folder)) == names
+    assert sorted(r.id for r in out.collect()) == list(range(100))
+    lineage.stored(out, instead_of=out)
+    assert not os.path.exists(folder)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(links, "a long, b long")).distinct().collect())
