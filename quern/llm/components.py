@@ -29,19 +29,19 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100, rows: int | None = None) -> DataFrame:
     """(id, component) of every node that has a link to another one; component is the least id of the node's component.
 
-    Nulls and loops are no links; an empty table gives no rows.
+    Nulls and loops are no links; an empty table gives no rows. `rows` is about the number of links, if known.
     """
-    now = stored(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seal = None
+    now = stored(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows=rows)
+    rows, seal = now.count(), None
     for _ in range(most_rounds):
-        now = stored(_star(_star(now, True), False), instead_of=now)
+        now = stored(_star(_star(now, True), False), instead_of=now, rows=rows)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == seal:
             break
-        seal = tuple(row)
+        rows, seal = row[0], tuple(row)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import textcore as T
 from quern.llm.components import connected_components
-from quern.llm.lineage import bound_batches, free_names, refuse_clash, stored
+from quern.llm.lineage import bound_batches, free_names, in_few, refuse_clash, stored
 
 TREES = 16
 #: Tokens that name a node of a tree; the classes of a node above LEAF take BRANCHES paths of DEEP tokens.
@@ -225,31 +225,32 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(_PATHS))), pa.array(key.view(np.int64).ravel())], names=["id", "key"])
 
 
-def candidate_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) between classes (id, keys, sketch): their components hold every link that the trees find."""
+def candidate_links(classes: DataFrame, threshold: float, most: int) -> tuple[DataFrame, int]:
+    """(a, b) between at most `most` classes (id, keys, sketch), whose components hold every link that the trees find; and about how many."""
 
-    def met(rows: DataFrame) -> DataFrame:
+    def met(rows: DataFrame, most: int) -> DataFrame:
         """The rows of nodes that two classes or more are in, with the node's size and least id.
 
         Rows in the hash buckets of crowded nodes are salted, so no task gets a node whole;
-        the buckets are at most ID_BUCKETS numbers.
+        the buckets are at most ID_BUCKETS numbers. There are `most` rows at most.
         """
-        size = stored(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1"))
+        size = stored(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1"), rows=most // 2)
         bucket = F.pmod(F.xxhash64("key"), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
         crowds = F.broadcast(size.filter(F.col("size") > CROWD).select(bucket).distinct().withColumn("salts", F.lit(SALTS)))
         dealt = rows.select("*", bucket).join(crowds, "bucket", "left").select("id", "key", F.pmod(F.xxhash64("id", F.lit(9)), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
         each = size.select("*", bucket).join(crowds, "bucket", "left").select("key", "size", "hub", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-        return stored(dealt.join(each, ["key", "salt"]).select("id", "key", "size", "hub"))
+        return stored(dealt.join(each, ["key", "salt"]).select("id", "key", "size", "hub"), rows=size.agg(F.sum("size")).first()[0] or 0)
 
-    first = met(classes.select("id", F.explode("keys").alias("key")))
+    first = met(classes.select("id", F.explode("keys").alias("key")), most * TREES)
     crowded = first.filter(F.col("size") > LEAF).select("id").distinct()
-    deep = met(stored(classes.select("id", "sketch").join(crowded, "id", "left_semi").mapInArrow(_branches, "id long, key long")))
+    paths = stored(classes.select("id", "sketch").join(crowded, "id", "left_semi").mapInArrow(_branches, "id long, key long"), rows=crowded.count() * len(_PATHS))
+    deep = met(paths, paths.count())
     stars = deep.filter((F.col("size") > LEAF) & (F.col("id") != F.col("hub"))).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     leaf = first.union(deep).filter(F.col("size") <= LEAF).select("key", "id")
     with_sketch = leaf.join(classes.select("id", "sketch"), "id").select("key", "id", "sketch")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = with_sketch.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_leaf_links(threshold - SLACK), "a long, b long")
-    return links.union(stars).distinct()
+    return links.union(stars).distinct(), first.count() + deep.count()
 
 
 def _exact_links(k: int, percent: int):
@@ -420,12 +421,14 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     refuse_clash(doc_id, ["n_shingles", "component_id", "kept"])
     bound_batches(docs.sparkSession)
     prints = stored(fingerprint(docs, doc_id, text, k))
-    same = stored(prints.filter("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    same = stored(prints.filter("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), rows=prints.count())
+    classes = same.count()
     reps = prints.filter("id IS NOT NULL").join(same.select("h1", "h2", "n", F.col("rep").alias("id")), ["h1", "h2", "n", "id"], "left_semi").dropDuplicates(["id", "h1", "h2"])
     # Rows of one id with different sets are tied by their id; the exact step sees the text of each.
-    rough = connected_components(candidate_links(reps.select("id", "keys", "sketch"), percent / 100))
+    near, about = candidate_links(reps.select("id", "keys", "sketch"), percent / 100, classes)
+    rough = connected_components(near, rows=about)
 
-    member = stored(reps.select("id", "n", "h1").join(rough, "id").groupBy("id", "component").agg(F.sum("n").alias("n")))
+    member = stored(reps.select("id", "n", "h1").join(rough, "id").groupBy("id", "component").agg(F.sum("n").alias("n")), rows=classes)
     groups = member.groupBy("component").agg(F.sum("n").alias("weight"))
     dealt = member.join(groups, "component").select("id", "n", "component", F.ceil(F.col("weight") / BLOCK).cast("int").alias("parts"))
     dealt = dealt.withColumn("home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -441,14 +444,14 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hubs = dealt.filter("parts > 1").groupBy("component", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(HUBS)).alias("slot")).agg(F.min_by("id", F.xxhash64("id", F.lit(5))).alias("id")).select("id")
     visitors = large.join(hubs, "id", "left_semi").select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "component", "id", "text").select(block(F.col("part")).alias("block"), F.lit(1).alias("visit"), "id", "text", none)
     links = stored(_compare(small.union(visitors), k, percent))
-    found = connected_components(links)
+    found = connected_components(links, rows=links.count())
     if large.limit(1).count():
-        settled = stored(dealt.filter("parts > 1").select("id", "component").join(found.withColumnRenamed("component", "now"), "id", "left").select("id", "component", F.coalesce("now", "id").alias("now")))
+        settled = stored(dealt.filter("parts > 1").select("id", "component").join(found.withColumnRenamed("component", "now"), "id", "left").select("id", "component", F.coalesce("now", "id").alias("now")), rows=classes)
         sizes = settled.groupBy("component", "now").agg(F.count("*").alias("size"))
         main = sizes.groupBy("component").agg(F.max_by("now", F.struct("size", "now")).alias("main"))
         rest = settled.join(main, "component").select("id", (F.col("now") != F.col("main")).alias("rest"))
         more = stored(_crossing_links(large.join(rest, "id").select("component", "id", "n", "text", "rest"), k, percent))
-        found = connected_components(links.union(more))
+        found = connected_components(links.union(more), rows=links.count() + more.count())
     # Rows of one id are one node even if their sets differ.
     ties = prints.filter("n > 0 AND id IS NOT NULL").select("id", "h1", "h2", "n").join(same, ["h1", "h2", "n"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     twice = prints.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").limit(1).count()
@@ -463,22 +466,22 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
             .select("id", "n", F.coalesce("component", "rep").alias("component_id"))
         )
-    return label.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return in_few(label, prints.count()).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all their columns, less the near copies: of each component, and of rows of one id, one row stays."""
     marks = link_components(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", k, percent)
     marks = stored(marks.filter("id IS NOT NULL").select("id", "kept"))
-    gone = stored(marks.filter("NOT kept").select("id").distinct())
+    gone = stored(marks.filter("NOT kept").select("id").distinct(), rows=marks.filter("NOT kept").count())
     twice = marks.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
-    touched = stored(gone.union(twice).distinct())
+    touched = stored(gone.union(twice).distinct(), rows=marks.count())
     own = F.col(f"`{doc_id}`")
     (name,) = free_names(docs.columns, "id")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     free = maybe_among(docs.filter(own.isNotNull()), touched, doc_id, absent=True).union(docs.filter(own.isNull()))
     rest = maybe_among(docs.filter(own.isNotNull()), touched, doc_id).withColumn(name, own.cast("long")).join(gone.withColumnRenamed("id", name), name, "left_anti")
-    return free.select(columns).union(rest.dropDuplicates([name]).select(columns))
+    return free.select(columns).union(in_few(rest.dropDuplicates([name]), touched.count()).select(columns))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

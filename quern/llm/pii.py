@@ -127,11 +127,11 @@ def disclosing(docs: DataFrame, some: DataFrame, text: str) -> tuple[DataFrame,
         return None
     n = F.lit(float(max(docs.count(), 1)))
     words = stored(_words(some, entities))
-    texts = stored(entities.select("key", "copy").distinct().join(some.groupBy("key").agg(F.count("*").alias("times")), "key"))
+    texts = stored(entities.select("key", "copy").distinct().join(some.groupBy("key").agg(F.count("*").alias("times")), "key"), rows=entities.count())
     each = entities.select("key", "entity").distinct().join(texts, "key")
     n_entity = each.groupBy("entity").agg(F.sum("times").alias("n_entity")).filter(F.col("n_entity") < n)
-    holds = stored(each.join(n_entity, "entity").select("key", "entity", "n_entity"))
-    has = stored(words.select("key", "term").distinct().join(texts, "key"))
+    holds = stored(each.join(n_entity, "entity").select("key", "entity", "n_entity"), rows=entities.count())
+    has = stored(words.select("key", "term").distinct().join(texts, "key"), rows=words.count())
     # Counted before the join, so that a word makes a row per task and not one per document.
     every = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(f"`{text}`")), r"[^\p{L}\p{M}]+"))).alias("term")).filter(F.length("term") >= 4)
     often = every.groupBy("term").agg(F.count("*").alias("n_term"))
@@ -142,7 +142,7 @@ def disclosing(docs: DataFrame, some: DataFrame, text: str) -> tuple[DataFrame,
         return F.col("n_term") * F.pow(n_entity / n, F.lit(1 - LIMIT)) * (1 - 1e-9)
 
     terms = placed.join(often, "term", "left").select("term", "n_placed", F.coalesce("n_term", F.lit(0)).alias("n_term"))
-    terms = stored(terms.filter(F.col("n_placed") >= needed(F.lit(float(SUPPORT)))))
+    terms = stored(terms.filter(F.col("n_placed") >= needed(F.lit(float(SUPPORT)))), rows=has.count())
     both = has.join(terms, "term").join(holds, "key").filter(F.least("n_placed", "n_entity") >= needed(F.col("n_entity")))
     both = stored(both.select("key", "copy", "times", "entity", "term", "n_entity", "n_term"))
     n_both = both.groupBy("entity", "term", "n_entity", "n_term").agg(F.count_distinct("copy").alias("texts"), F.sum("times").alias("n_both"))

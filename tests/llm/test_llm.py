@@ -46,6 +46,32 @@ def test_stored_tables_have_data_files_alone(spark):
     assert not os.path.exists(folder)
 
 
+def test_tables_of_few_rows_are_stored_in_few_files(spark, monkeypatch):
+    many = spark.range(0, 1000, 1, 50)
+    for rows, files in ((0, 1), (1000, 1), (lineage.FILE_ROWS + 1, 2), (10**9, 50)):
+        out = lineage.stored(many, rows=rows)
+        assert len(out.inputFiles()) == files and sorted(r.id for r in out.collect()) == list(range(1000))
+
+    made = []
+    monkeypatch.setattr("quern.llm.components.stored", lambda df, *a, **b: made.append(lineage.stored(df, *a, **b)) or made[-1])
+    monkeypatch.setattr(near_dedup, "stored", lambda df, *a, **b: made.append(lineage.stored(df, *a, **b)) or made[-1])
+    rows = [(i, f"{' '.join(f'w{i // 3}x{j}' for j in range(40))} {'end' * (i % 3)}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        kept = near_dedup.keep_one(docs, "id", "text", 5, 80)
+        assert sorted(r.id for r in kept.collect()) == list(range(0, 300, 3))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Only the confirmed links come from tasks that compare whole texts and are not put together.
+    files = sorted(len(t.inputFiles()) for t in made)
+    assert len(files) > 10 and files[-1] <= 32 and max(files[:-1]) <= 2
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(links, "a long, b long")).distinct().collect())
