@@ -15,7 +15,10 @@ with the counts so read and L = 1 - (pairs seen once) / (pairs), the Good-Turing
 seen pairs. The base score uses the exact word counts, which are sent back to the blocks
 with the levels, as arrays in the order asked. The texts are cut into tokens once; the
 blocks are stored with their ids, so a repeated task, or an input that comes out in
-another order, cannot give a block another's replies.
+another order, cannot give a block another's replies. What is sent is packed without
+loss: sorted hashes as the steps of their upper 16 bits and the rest as it is, a block's
+tokens as places in the order of how often they stand there, counts and levels by bytes
+of one weight.
 
 Cases: null and empty texts are one end token; with nothing to learn from, N and V are 0
 and the base score is 0; a null id is held out. Repeated rows are learnt from and scored
@@ -50,6 +53,59 @@ BUCKET_BYTES = 16 << 20
 END = np.uint64(0xC0FFEE1234567891)
 _PAIR = np.uint64(0xA24BAED4963EE407)
 UNI, BI, TOTAL = 0, 1, 2
+#: Bits of a word's and of a pair's hash within its bucket.
+KEY_BITS = {UNI: 48, BI: 32}
+
+_small, _large = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _bytes(x: np.ndarray, size: int) -> np.ndarray:
+    """The bytes of whole numbers, one row a number, the lowest first."""
+    return np.ascontiguousarray(x, f"<u{size}").view(np.uint8).reshape(-1, size)
+
+
+def _numbers(rows: np.ndarray, size: int) -> np.ndarray:
+    """The numbers of rows of bytes, the lowest first; higher bytes are 0."""
+    out = np.zeros((len(rows), size), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.reshape(-1).view(f"<u{size}")
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in few bytes: the width of the greatest, then the bytes of each weight together, compressed."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + _small.compress(_bytes(x, 4 if width <= 4 else 8)[:, :width].T.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    """The numbers of `pack`, as 32-bit ones if they fit."""
+    planes = np.frombuffer(_large.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return _numbers(planes.T, 4 if data[0] <= 4 else 8)
+
+
+def pack_keys(keys: np.ndarray, bits: int) -> tuple[bytes, bytes]:
+    """Sorted numbers of so many bits, 32 or 48: the steps of their upper 16 bits, packed, and the bits below as they are."""
+    return pack(np.diff(keys >> np.uint64(bits - 16), prepend=np.uint64(0))), _bytes(keys, 8)[:, : bits // 8 - 2].tobytes()
+
+
+def unpack_keys(steps: bytes, rest: bytes, bits: int) -> np.ndarray:
+    """The numbers of `pack_keys`."""
+    low = _numbers(np.frombuffer(rest, np.uint8).reshape(-1, bits // 8 - 2), 8)
+    return low | (np.cumsum(unpack(steps), dtype=np.uint64) << np.uint64(bits - 16))
+
+
+def pack_tokens(h: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Token hashes as places in the distinct ones, the most frequent first, how often each stands there, and the steps of the sorted distinct ones."""
+    u, code, n = np.unique(h, return_inverse=True, return_counts=True)
+    place = np.empty(len(u), np.int64)
+    place[np.argsort(-n, kind="stable")] = np.arange(len(u))
+    return pack(place[code]), pack(n), pack(np.diff(u, prepend=np.uint64(0)))
+
+
+def unpack_tokens(data: bytes, often: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of `pack_tokens`, and the tokens as places in them."""
+    order = np.argsort(-unpack(often).astype(np.int64), kind="stable").astype(np.uint32)
+    return np.cumsum(unpack(steps), dtype=np.uint64), order[unpack(data)]
 
 
 def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,19 +132,18 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: an id, the rows' ids and whether they are held out, the distinct token hashes, and the tokens as places in them."""
-    pack = zstandard.ZstdCompressor(level=1)
+    """Blocks of documents: an id, the rows' ids and whether they are held out, and the packed tokens."""
     block = TaskContext.get().partitionId() << 32
     one = lambda x, kind: pa.array([x], kind)
     for batch in batches:
         data, off = T.text_buffers(batch.column(2))
         for lo, hi in T.slices(off, BLOCK_BYTES):
             h, first = _tokens(data, off[lo : hi + 1])
-            u, code = np.unique(h, return_inverse=True)
+            codes, often, steps = pack_tokens(h)
             ids, held = (batch.column(i).slice(lo, hi - lo).to_pylist() for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [one(block, pa.int64()), one(pack.compress(code.astype(np.uint32).tobytes()), pa.binary()), one(u.tobytes(), pa.binary()), one(first.astype(np.int64).tobytes(), pa.binary()), one(ids, pa.list_(pa.int64())), one(held, pa.list_(pa.bool_()))],
-                names=["block", "data", "level", "first", "ids", "held"],
+                [one(block, pa.int64()), *(one(x, pa.binary()) for x in (codes, often, steps)), one(first.astype(np.int64).tobytes(), pa.binary()), one(ids, pa.list_(pa.int64())), one(held, pa.list_(pa.bool_()))],
+                names=["block", "data", "often", "level", "first", "ids", "held"],
             )
             block += 1
 
@@ -119,9 +174,8 @@ def _send(rbits: int, tasks: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block, data, level, first, held = (batch.column(c)[i].as_py() for c in ("block", "data", "level", "first", "held"))
-                code = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
-                u = np.frombuffer(level, np.uint64)
+                block, data, often, level, first, held = (batch.column(c)[i].as_py() for c in ("block", "data", "often", "level", "first", "held"))
+                u, code = unpack_tokens(data, often, level)
                 train = np.repeat(~np.array(held, bool), np.diff(np.frombuffer(first, np.int64)))
                 out: list[tuple[int, int, int, int, bytes, bytes, bytes]] = []
                 count = np.bincount(code[train], minlength=len(u)).astype(np.uint32)
@@ -129,11 +183,10 @@ def _send(rbits: int, tasks: np.ndarray):
                 many = np.bincount(where[train], minlength=len(pair)).astype(np.uint32)
                 for kind, keys, n in ((UNI, u, count), (BI, pair, many)):
                     cut = np.searchsorted(keys >> shift, np.arange(buckets + 1, dtype=np.uint64))
-                    rest = keys << np.uint64(rbits)
-                    high, low = (rest >> np.uint64(32)).astype(np.uint32), (rest >> np.uint64(16)).astype(np.uint16)
+                    keys = (keys << np.uint64(rbits)) >> np.uint64(64 - KEY_BITS[kind])
                     for b in np.flatnonzero(np.diff(cut)).tolist():
                         s = slice(cut[b], cut[b + 1])
-                        out.append((int(tasks[b]), b, kind, block, high[s].tobytes(), low[s].tobytes() if kind == UNI else b"", n[s].tobytes()))
+                        out.append((int(tasks[b]), b, kind, block, *pack_keys(keys[s], KEY_BITS[kind]), pack(n[s])))
                 for j in range(0, len(out), 64):
                     cols = list(zip(*out[j : j + 64], strict=True))
                     kinds = [pa.int32()] * 3 + [pa.int64()] + [pa.binary()] * 3
@@ -208,8 +261,8 @@ class Model:
 def _count():
     """Sums each bucket, and gives its totals and, to each block, the exact counts and the levels read of the n-grams it asked for."""
 
-    def joined(rows: dict, which: list[int], name: str, kind: type) -> np.ndarray:
-        return np.frombuffer(b"".join(rows[name][i] for i in which), kind)
+    def joined(parts: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint32), *parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _runs(batches, 1):
@@ -219,10 +272,12 @@ def _count():
                 rows = batch.slice(lo, hi - lo).to_pydict()
                 uni = [i for i, k in enumerate(rows["kind"]) if k == UNI]
                 bi = [i for i, k in enumerate(rows["kind"]) if k == BI]
-                u, code = np.unique((joined(rows, uni, "high", np.uint32).astype(np.uint64) << np.uint64(16)) | joined(rows, uni, "low", np.uint16), return_inverse=True)
-                count = np.bincount(code, weights=joined(rows, uni, "n", np.uint32), minlength=len(u)).astype(np.int64)
-                pair, where = np.unique(joined(rows, bi, "high", np.uint32), return_inverse=True)
-                many = np.bincount(where, weights=joined(rows, bi, "n", np.uint32), minlength=len(pair)).astype(np.int64)
+                asked = [unpack_keys(high, low, KEY_BITS[kind]) for kind, high, low in zip(rows["kind"], rows["high"], rows["low"], strict=True)]
+                n = [unpack(x) for x in rows["n"]]
+                u, code = np.unique(joined([asked[i] for i in uni]), return_inverse=True)
+                count = np.bincount(code, weights=joined([n[i] for i in uni]), minlength=len(u)).astype(np.int64)
+                pair, where = np.unique(joined([asked[i] for i in bi]).astype(np.uint32), return_inverse=True)
+                many = np.bincount(where, weights=joined([n[i] for i in bi]), minlength=len(pair)).astype(np.int64)
                 word = (u >> np.uint64(16)).astype(np.uint32)
                 parts = [(UNI, word, count), (BI, pair, many)]
                 bits = segment_bits(parts)
@@ -233,10 +288,10 @@ def _count():
                 for kind, which in ((UNI, uni), (BI, bi)):
                     at = 0
                     for i in which:
-                        size = len(rows["high"][i]) // 4
+                        size = len(n[i])
                         block.append(rows["block"][i])
-                        data.append(exact[at : at + size].tobytes() if kind == UNI else b"")
-                        levels.append(read[kind][at : at + size].tobytes())
+                        data.append(pack(exact[at : at + size]) if kind == UNI else b"")
+                        levels.append(pack(read[kind][at : at + size]))
                         at += size
                 k = len(block)
                 cols = [pa.array([UNI] * len(uni) + [BI] * len(bi) + [TOTAL], pa.int32()), pa.array([int(bucket[lo])] * (k + 1), pa.int32()), pa.array([*block, -1], pa.int64()), pa.array([*data, b""], pa.binary()), pa.array([*levels, b""], pa.binary())]
@@ -265,10 +320,9 @@ def _scores(n: int, v: int, mass: float):
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 rows = batch.slice(lo, hi - lo)
                 kind, data, levels = (rows.column(i).to_pylist() for i in (2, 3, 4))
-                code = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[0]), np.uint32)
-                u = np.frombuffer(levels[0], np.uint64)
-                c = np.frombuffer(b"".join(data[1:]), np.int64)
-                words, pairs = (expected(np.frombuffer(b"".join(x for x, y in zip(levels, kind, strict=True) if y == which), np.uint8).astype(np.int64)) for which in (UNI, BI))
+                u, code = unpack_tokens(data[0], rows.column(8)[0].as_py(), levels[0])
+                c = np.concatenate([unpack(x) for x, y in zip(data, kind, strict=True) if y == UNI]).astype(np.int64)
+                words, pairs = (expected(np.concatenate([unpack(x) for x, y in zip(levels, kind, strict=True) if y == which]).astype(np.int64)) for which in (UNI, BI))
                 first = np.frombuffer(rows.column(5)[0].as_py(), np.int64)
                 base = np.add.reduceat((np.log10(c + 1.0) - np.log10(n + v + 1.0))[code], first[:-1])
                 known = np.add.reduceat((c > 0)[code], first[:-1], dtype=np.int64)
@@ -288,14 +342,14 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rbits = max(4, int(size // BUCKET_BYTES).bit_length())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << rbits)
-    blocks = stored(src.mapInArrow(_tokenise, "block long, data binary, level binary, first binary, ids array<long>, held array<boolean>"))
-    sent = blocks.select("block", "data", "level", "first", "held").mapInArrow(_send(rbits, spread(parts)), "task int, bucket int, kind int, block long, high binary, low binary, n binary")
+    blocks = stored(src.mapInArrow(_tokenise, "block long, data binary, often binary, level binary, first binary, ids array<long>, held array<boolean>"))
+    sent = blocks.select("block", "data", "often", "level", "first", "held").mapInArrow(_send(rbits, spread(parts)), "task int, bucket int, kind int, block long, high binary, low binary, n binary")
     counted = stored(sent.repartition(parts, "task").sortWithinPartitions("bucket").mapInArrow(_count(), "kind int, bucket int, block long, data binary, level binary, n long, v long, once long, pairs long"))
     n, v, once, pairs = (x or 0 for x in counted.filter(F.col("kind") == TOTAL).agg(*[F.sum(c) for c in ("n", "v", "once", "pairs")]).first())
     mass = 1 - once / pairs if pairs else 0.0
-    names = ["block", "bucket", "kind", "data", "level", "first", "ids", "held"]
+    names = ["block", "bucket", "kind", "data", "level", "first", "ids", "held", "often"]
     asked = blocks.select("block", F.lit(-1).alias("bucket"), F.lit(-1).alias("kind"), *names[3:])
-    replies = counted.filter(F.col("kind") != TOTAL).select("block", "bucket", "kind", "data", "level", F.lit(None).cast("binary").alias("first"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held"))
+    replies = counted.filter(F.col("kind") != TOTAL).select("block", "bucket", "kind", "data", "level", F.lit(None).cast("binary").alias("first"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held"), F.lit(None).cast("binary").alias("often"))
     both = asked.select(*names).union(replies.select(*names)).repartition(parts, "block").sortWithinPartitions("block", "bucket")
     return both.mapInArrow(_scores(n, v, mass), f"`{doc_id}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
