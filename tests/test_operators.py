@@ -271,3 +271,47 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = {tuple(r) for r in W.tumbling(rows, "t", "1 hour", ["k"], n=("id", F.count)).collect()}
     assert {tuple(r) for r in spark.table("tumbled").collect()} == want
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan", "chebyshev", "sqeuclidean", "hamming", "rbf"])
+def test_tiled_distances(spark, metric):
+    """Several tiles, equal vectors, a missing, a short and a zero vector, and a missing element."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    x[20:40], x[7] = x[:20], 0
+    data = [(i, [float(e) for e in v]) for i, v in enumerate(x)] + [(300, None), (301, [1.0, 2.0]), (302, [1.0, None, 2.0, 3.0])]
+    df = spark.createDataFrame(data, "i long, x array<double>")
+    diff = x[:, None] - x[None]
+    with np.errstate(all="ignore"):
+        square = (diff**2).sum(-1)
+        want = {
+            "euclidean": np.sqrt(square), "sqeuclidean": square, "manhattan": np.abs(diff).sum(-1), "chebyshev": np.abs(diff).max(-1), "hamming": (diff != 0).mean(-1), "rbf": np.exp(-square / 4),
+            "cosine": 1 - x @ x.T / np.sqrt((x**2).sum(1)[:, None] * (x**2).sum(1)),
+        }[metric]
+    for decimals in (None, 6):
+        got = arrays.cdist(df, df, metric, decimals).toPandas()
+        assert len(got) == 303 * 303 and len(got[["i", "j"]].drop_duplicates()) == len(got)
+        full = got[(got.i < 300) & (got.j < 300)].sort_values(["i", "j"])["d"].to_numpy(float).reshape(300, 300)
+        np.testing.assert_allclose(full, want, atol=1e-7 if decimals is None else 1e-6)
+        odd = got[(got.i >= 300) | (got.j >= 300)]
+        assert set(map(tuple, odd[odd.d.notna()][["i", "j"]].to_numpy())) == {(301, 301)} or metric == "cosine"
+        half = arrays.pdist(df, metric, decimals).toPandas()
+        both = half.merge(got, on=["i", "j"])
+        assert len(half) == len(both) == 303 * 302 // 2 and (half.i < half.j).all()
+        np.testing.assert_array_equal(both.d_x, both.d_y)
+
+
+def test_rounded_distances_are_those_of_the_elements():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(64, 200)) / 8, rng.normal(size=(64, 900)) / 8
+    y[:, :50], y[:, 50:100], y[:, 7] = x[:, :50], x[:, 50:100] * (1 + 1e-5), 0
+    for metric in ("euclidean", "cosine"):
+        np.testing.assert_array_equal(arrays._rounded_cells(x, y, metric, None, 6), arrays._rounded(arrays.cells(x, y, metric, None), 6))
+
+
+def test_distance_plans_are_tiles(spark):
+    """No pair is made by a product or a nested loop join."""
+    df = spark.range(10).selectExpr("id AS i", "array(CAST(id AS double)) AS x")
+    for out in (arrays.cdist(df, df), arrays.pdist(df)):
+        text = out._jdf.queryExecution().toString()
+        assert "Cartesian" not in text and "NestedLoop" not in text and "Join" not in text
