@@ -14,3 +14,9 @@ def test_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, SMALL).count() > 0
+
+
+@pytest.mark.parametrize("name", ["distance_cosine"])
+def test_every_vector_asks_for_distances(spark, name):
+    n = spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
+    assert catalog.QUERIES[name](spark, SMALL).count() == n * (n - 1)
