@@ -16,7 +16,7 @@ def test_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, SMALL).count() > 0
 
 
-@pytest.mark.parametrize("name", ["distance_cosine"])
+@pytest.mark.parametrize("name", ["distance_cosine", "distance_euclidean"])
 def test_every_vector_asks_for_distances(spark, name):
     n = spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
     assert catalog.QUERIES[name](spark, SMALL).count() == n * (n - 1)
