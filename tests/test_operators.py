@@ -315,3 +315,18 @@ def test_distance_plans_are_tiles(spark):
     for out in (arrays.cdist(df, df), arrays.pdist(df)):
         text = out._jdf.queryExecution().toString()
         assert "Cartesian" not in text and "NestedLoop" not in text and "Join" not in text
+
+
+@pytest.mark.parametrize("others", [False, True])
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_neighbours_of_equal_vectors(spark, metric, others):
+    """Each vector stands seven times: equal distances go by j, and a query's own id may not be among its first."""
+    rng = np.random.default_rng(5)
+    x = np.tile(rng.normal(size=(90, 6)), (7, 1))
+    df = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], "i long, x array<double>")
+    d = np.stack([arrays.paired(np.repeat(v[:, None], len(x), 1), x.T, metric) for v in x])
+    for k in (4, 9):
+        got = learn.nearest_neighbors(df.filter("i % 3 = 0"), df, k, metric, others).toPandas().sort_values(["i", "rank"])
+        for i, rows in got.groupby("i"):
+            want = [j for j in np.lexsort((np.arange(len(x)), d[i])) if not others or j != i][:k]
+            assert list(rows["j"]) == want and list(rows["rank"]) == list(range(1, k + 1))
