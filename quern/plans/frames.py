@@ -99,7 +99,7 @@ def merge_left(s, d):
 @plan("SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_acctbal > 0) s RIGHT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal < 0) c ON s_nationkey = c_nationkey")
 def merge_right(s, d):
     a, b = T(s, d, "supplier").filter("s_acctbal > 0"), T(s, d, "customer").filter("c_acctbal < 0")
-    return joins.merge(a, b, "right", left_on="s_nationkey", right_on="c_nationkey").select("s_suppkey", "c_custkey")
+    return joins.spread(a.select("s_suppkey", "s_nationkey"), b.select("c_custkey", "c_nationkey"), "right", "s_nationkey", "c_nationkey").select("s_suppkey", "c_custkey")
 
 
 @plan("SELECT coalesce(a.k, b.k) AS k, a.n AS n_x, b.n AS n_y, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS _merge FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
@@ -113,7 +113,7 @@ def merge_outer_indicator(s, d):
 def merge_null_keys(s, d):
     c = T(s, d, "customer").withColumn("k", F.nullif("c_nationkey", F.lit(3)))
     a = c.filter("c_acctbal > 9500").select(F.col("c_custkey").alias("x"), "k")
-    return joins.merge(a, c.filter("c_acctbal < -900").select(F.col("c_custkey").alias("y"), "k"), on="k").select("x", "y")
+    return joins.spread(a, c.filter("c_acctbal < -900").select(F.col("c_custkey").alias("y"), "k"), "inner", "k", "k").select("x", "y")
 
 
 @plan("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -271,10 +271,9 @@ def groupby_rank(s, d):
 
 @plan("SELECT o_custkey, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1")
 def groupby_apply(s, d):
-    import pandas as pd
-
     def spread(pdf):
-        return pd.DataFrame({"o_custkey": pdf["o_custkey"].iloc[:1], "spread": [round(pdf["o_totalprice"].max() - pdf["o_totalprice"].min(), 2)]})
+        price = pdf["o_totalprice"]
+        return pdf["o_custkey"].iloc[0], round(price.max() - price.min(), 2)
 
     return grouping.apply(T(s, d, "orders").select("o_custkey", "o_totalprice"), ["o_custkey"], spread, "o_custkey long, spread double")
 

@@ -330,3 +330,17 @@ def test_neighbours_of_equal_vectors(spark, metric, others):
         for i, rows in got.groupby("i"):
             want = [j for j in np.lexsort((np.arange(len(x)), d[i])) if not others or j != i][:k]
             assert list(rows["j"]) == want and list(rows["rank"]) == list(range(1, k + 1))
+
+
+@pytest.mark.parametrize("how", ["inner", "right"])
+def test_spread_join(spark, monkeypatch, how):
+    """Few keys with many rows: the same rows as a merge, made by several tasks."""
+    a = spark.range(600).selectExpr("id AS x", "IF(id % 4 = 3, NULL, id % 4) AS k")
+    b = spark.range(500).selectExpr("id AS y", "IF(id % 5 = 3, NULL, id % 5) AS k")
+    want = joins.merge(a, b, how, left_on="k", right_on="k").select("x", "y").toPandas().astype(float)
+    monkeypatch.setattr(joins, "SPREAD_ROWS", 1000)
+    out = joins.spread(a, b, how, "k", "k").select("x", "y")
+    sizes = out.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.sum() == len(want) and len(sizes) > 20 and sizes.max() < len(want) / 10
+    got = out.toPandas().astype(float)
+    pd.testing.assert_frame_equal(*(t.sort_values(["x", "y"]).reset_index(drop=True) for t in (got, want)))
