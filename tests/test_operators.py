@@ -344,3 +344,22 @@ def test_spread_join(spark, monkeypatch, how):
     assert sizes.sum() == len(want) and len(sizes) > 20 and sizes.max() < len(want) / 10
     got = out.toPandas().astype(float)
     pd.testing.assert_frame_equal(*(t.sort_values(["x", "y"]).reset_index(drop=True) for t in (got, want)))
+
+
+def test_apply_takes_many_groups_at_once(spark):
+    """Groups over the bounds of batches, a NaN key, and functions that return a frame, a row or a value."""
+    n = 25000
+    pdf = pd.DataFrame({"k": np.arange(n) // 7 % 1500 + 0.0, "v": np.arange(n) * 1.0})
+    pdf.loc[pdf.k < 2, "k"] = np.nan
+    pdf.loc[pdf.index % 5 == 0, "k"] = 3.0
+    df = spark.createDataFrame(pdf)
+    want = pdf.groupby("k", dropna=False)["v"].sum().reset_index()
+    want["k"] = want["k"].fillna(-1)
+    show = lambda t: t.assign(k=t["k"].fillna(-1)).sort_values("k").reset_index(drop=True)
+    whole = lambda p: pd.DataFrame({"k": p["k"].iloc[:1], "v": [p["v"].sum()]})
+    for f in (whole, lambda p: (p["k"].iloc[0], p["v"].sum())):
+        out = grouping.apply(df, ["k"], f, "k double, v double")
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        pd.testing.assert_frame_equal(show(out.toPandas()), show(want))
+    sizes = grouping.apply(df, ["k"], lambda p: float(len(p)), "n double").toPandas()["n"]
+    assert sizes.sum() == n and len(sizes) == len(want)
