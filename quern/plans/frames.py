@@ -297,8 +297,8 @@ def frame_reductions(s, d):
 @plan("SELECT round(quantile_cont(l_extendedprice, 0.3), 6) AS linear, quantile_disc(l_quantity, 0.5) AS lower FROM lineitem")
 def quantiles(s, d):
     t = T(s, d, "lineitem")
-    low = stats.quantile_by_rank(t, "l_quantity", 0.5, "lower", t.count()).select(F.col("value").alias("lower"))
-    return t.agg(F.round(stats.quantile("l_extendedprice", 0.3), 6).alias("linear")).crossJoin(low)
+    low = stats.quantile_by_rank(t, "l_quantity", 0.5, "lower").select(F.col("value").alias("lower"))
+    return stats.quantile_by_rank(t, "l_extendedprice", 0.3, "linear").select(F.round("value", 6).alias("linear")).crossJoin(low)
 
 
 @plan("SELECT a, b, round(corr, 8) AS corr FROM (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS corr FROM lineitem UNION ALL SELECT 'l_quantity', 'l_quantity', 1 UNION ALL SELECT 'l_extendedprice', 'l_extendedprice', 1 UNION ALL SELECT 'l_extendedprice', 'l_quantity', corr(l_extendedprice, l_quantity) FROM lineitem)")

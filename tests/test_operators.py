@@ -363,3 +363,21 @@ def test_apply_takes_many_groups_at_once(spark):
         pd.testing.assert_frame_equal(show(out.toPandas()), show(want))
     sizes = grouping.apply(df, ["k"], lambda p: float(len(p)), "n double").toPandas()["n"]
     assert sizes.sum() == n and len(sizes) == len(want)
+
+
+@pytest.mark.parametrize("most", [8, 1 << 16])
+def test_exact_quantiles_in_any_task(spark, monkeypatch, most):
+    """Few and many distinct values, missing ones, NaN and an empty column; no task holds the column."""
+    monkeypatch.setattr(stats, "MAX_VALUES", most)
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(size=3000), np.repeat(rng.integers(0, 5, 40) * 1.0, 50)])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)] * 7, "v double")
+    for q in (0.0, 0.001, 0.3, 0.5, 0.97, 1.0):
+        for how in ("linear", "lower", "higher", "midpoint"):
+            assert stats.quantiles(df, "v", [q], how)[0] == pytest.approx(np.quantile(v, q, method=how), rel=1e-12)
+    assert stats.quantiles(df.filter("v IS NULL"), "v", [0.5]) == [None]
+    nan = df.union(spark.createDataFrame([(float("nan"),)] * 6000, "v double"))
+    assert stats.quantiles(nan, "v", [0.1], "lower")[0] == np.sort(v)[int(np.floor(10999 * 0.1))] and np.isnan(stats.quantiles(nan, "v", [0.9])[0])
+    for out in (stats.qcut(df, "v", 4), stats.describe(df, ["v"]), stats.quantile_by_rank(df, "v", 0.3, "linear")):
+        text = out._jdf.queryExecution().toString()
+        assert "percentile(" not in text and "Window" not in text
