@@ -381,3 +381,12 @@ def test_exact_quantiles_in_any_task(spark, monkeypatch, most):
     for out in (stats.qcut(df, "v", 4), stats.describe(df, ["v"]), stats.quantile_by_rank(df, "v", 0.3, "linear")):
         text = out._jdf.queryExecution().toString()
         assert "percentile(" not in text and "Window" not in text
+
+
+def test_erf_makes_no_struct_per_term(spark):
+    import math
+
+    x = [-4.0, -2.9, -0.5, 0.0, 1e-9, 0.1, 1.0, 2.5, 2.999, 3.5]
+    out = spark.createDataFrame([(v,) for v in x], "x double").select("x", E.erf(F.col("x")).alias("y"))
+    assert [r.y for r in out.orderBy("x").collect()] == pytest.approx([math.erf(v) for v in x], rel=1e-11, abs=1e-15)
+    assert "sequence(1, 60" not in out._jdf.queryExecution().analyzed().toString()
